@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_histogram_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapline.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), columns=["doc_id"])
+
+
 def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gapline.llm.simhash import simhash_components
 
@@ -23,6 +29,18 @@ def op4_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapline.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op8_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapline.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gapline.llm.quality import classify
 
