@@ -23,6 +23,12 @@ def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapline.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gapline.llm.decontaminate import search
 
