@@ -35,12 +35,24 @@ def op4_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapline.llm.phrases import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gapline.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gapline.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gapline.llm.topk import top_k
 
