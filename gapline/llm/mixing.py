@@ -84,76 +84,93 @@ def min_cost_flow(capacity: dict[tuple, list[tuple[int, int]]], quota: dict, mem
     return {p: sum(room[e ^ 1] for e in arcs) for p, arcs in first.items()}
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: str = "1.5", repeats: int = 2, seed: int = 11, max_patterns: int = 100_000) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of docs; source_col may also hold an array of sources.
+def _facts(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """docs with the columns __size (words), __p (sorted set of sources) and __h (place in the seeded order)."""
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    several = dict(docs.dtypes)[source_col].startswith("array")
+    sources = F.array_sort(F.array_distinct(col(source_col).cast("array<string>"))) if several else F.array(col(source_col).cast("string"))
+    unknown = F.array(F.lit(None).cast("string"))
+    return docs.withColumns({
+        "__size": F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long"),
+        "__p": F.when(F.size(sources) > 0, sources).otherwise(unknown),
+        "__h": F.shiftrightunsigned(F.xxhash64(F.lit(seed), col(id_col).cast("long"), text), 64 - BITS),
+    })
 
-    size is the number of words of the whole text (null: 0). Sources in order of code points, null last, have the
-    weights in turn; targets are share times all sizes dealt by weight, at most repeats times the source's size.
-    Documents with the same set of sources make a pattern; a min-cost flow routes the patterns' words to the quotas,
-    the n-th copy of a word at cost n - 1. A pattern's whole copies go to all its documents; the rest goes to those
-    that come first in a seeded order of (doc_id, text), up to the document nearest the quota. source_size and target
-    of a document with several sources are sums over them. Rows that are wholly equal share their place in the order.
-    The patterns, which the driver holds, are counted first: over max_patterns is an error.
+
+def plan(facts: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: str = "1.5", repeats: int = 2, max_patterns: int = 100_000) -> DataFrame:
+    """(q, base, source_size, target, m) for each pattern q of facts: base copies of all its documents, one more of those whose place is below m.
+
+    The driver holds patterns alone; they are counted first, and over max_patterns is an error.
     """
-    cuts = Cuts(docs.sparkSession, "mix")
-    kind = dict(docs.dtypes)[source_col]
-    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    sources = F.array_sort(F.array_distinct(col(source_col))) if kind.startswith("array") else F.array(col(source_col).cast("string"))
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("size"), sources.alias("p"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), col(id_col).cast("long"), text), 64 - BITS).alias("h"))
-    rows = cuts.cut(rows.withColumn("p", F.coalesce("p", F.array(F.lit(None).cast("string")))))
-    sums = rows.groupBy("p").agg(F.sum("size").alias("size"))
-    found = sums.limit(max_patterns + 1).collect()
+    spark = facts.sparkSession
+    found = facts.groupBy("__p").agg(F.sum("__size").alias("size")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"over {max_patterns} patterns of sources")
-    whole = {tuple(r.p): r.size for r in found}
+    whole = {tuple(r[0]): r.size for r in found}
     names = sorted({s for p in whole for s in p}, key=lambda s: (s is None, s or ""))
     held = {s: sum(n for p, n in whole.items() if s in p) for s in names}
     target = dict(zip(names, capped_targets([held[s] for s in names], [weights[i % len(weights)] for i in range(len(names))], Fraction(share), repeats), strict=True))
-    quota = {s: round(t) for s, t in target.items()}
-    flow = min_cost_flow({p: [(n, k) for k in range(repeats)] for p, n in whole.items()}, quota, {p: list(p) for p in whole})
+    flow = min_cost_flow({p: [(n, k) for k in range(repeats)] for p, n in whole.items()}, {s: round(t) for s, t in target.items()}, {p: list(p) for p in whole})
     base = {p: (f // whole[p] if whole[p] else 0) for p, f in flow.items()}
-    rest = {p: f - base[p] * whole[p] for p, f in flow.items()}
-    known = docs.sparkSession.createDataFrame([(list(p), base[p], sum(held[s] for s in p), float(sum(target[s] for s in p))) for p in whole] or [([None], 0, 0, 0.0)], "p array<string>, base long, source_size long, target double")
 
     # The place in the seeded order where each pattern's rest is met: BITS bits, LEVEL at a time.
-    mark = {p: 0 for p in whole}  # documents with a hash below this are taken
-    left, open_ = dict(rest), {p for p in whole if rest[p]}
-    done = 0
+    mark = dict.fromkeys(whole, 0)
+    left = {p: f - base[p] * whole[p] for p, f in flow.items()}
+    open_, done = {p for p in whole if left[p]}, 0
     while open_ and done < BITS:
         step = min(LEVEL, BITS - done)
-        prefix = F.shiftrightunsigned("h", BITS - done)
-        wanted = docs.sparkSession.createDataFrame([(list(p), mark[p] >> (BITS - done)) for p in open_], "p array<string>, x long")
-        bucket = F.shiftrightunsigned("h", BITS - done - step).bitwiseAND((1 << step) - 1)
-        near = rows.join(F.broadcast(wanted.withColumnRenamed("p", "q")), (F.col("p").eqNullSafe(F.col("q"))) & (F.col("x") == prefix))
+        wanted = spark.createDataFrame([(list(p), mark[p] >> (BITS - done)) for p in open_], "q array<string>, x long")
+        bucket = F.shiftrightunsigned("__h", BITS - done - step).bitwiseAND((1 << step) - 1)
+        near = facts.join(F.broadcast(wanted), F.col("__p").eqNullSafe(F.col("q")) & (F.col("x") == F.shiftrightunsigned("__h", BITS - done)))
         part: dict[tuple, dict[int, tuple]] = {}
-        for r in near.groupBy("p", bucket.alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect():
-            part.setdefault(tuple(r.p), {})[r.b] = (r.s, r.n)
+        for r in near.groupBy("q", bucket.alias("b")).agg(F.sum("__size").alias("s"), F.count("*").alias("n")).collect():
+            part.setdefault(tuple(r.q), {})[r.b] = (r.s, r.n)
         done += step
+        unit = BITS - done
         for p in list(open_):
-            got = part.get(p, {})
-            for b in sorted(got):
-                s, n = got[b]
+            above = mark[p] >> unit >> step << step
+            for b, (s, n) in sorted(part.get(p, {}).items()):
                 if s <= left[p]:
                     left[p] -= s
-                    mark[p] = ((mark[p] >> (BITS - done)) >> step << step | b) + 1 << (BITS - done)
+                    mark[p] = (above + b + 1) << unit
                     continue
-                if n == 1 or done == BITS:  # the nearer of with and without the last
-                    mark[p] = (((mark[p] >> (BITS - done)) >> step << step) | b) + (2 * left[p] >= s) << (BITS - done)
+                if n == 1 or not unit:  # the nearer of with and without the last
+                    mark[p] = (above + b + (2 * left[p] >= s)) << unit
                     open_.discard(p)
                 else:
-                    mark[p] = (((mark[p] >> (BITS - done)) >> step << step) | b) << (BITS - done)
+                    mark[p] = (above + b) << unit
                 break
             else:
                 open_.discard(p)
-    marks = docs.sparkSession.createDataFrame([(list(p), m) for p, m in mark.items()] or [([None], 0)], "p array<string>, m long")
-    both = known.join(marks, known.p.eqNullSafe(marks.p)).select(known.p.alias("q"), "base", "source_size", "target", "m")
-    joined = rows.join(F.broadcast(both), F.col("p").eqNullSafe(F.col("q")))
-    copies = F.col("base") + F.when(F.col("h") < F.col("m"), 1).otherwise(0)
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
-
-
-def taken_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs less those of which the mix takes no copy (a document without words goes with those that have a copy)."""
-    cuts = Cuts(docs.sparkSession, "taken")
-    none = cuts.cut(mix(docs, id_col, **how).groupBy("doc_id").agg(F.max("copies").alias("n")).where("n = 0 and doc_id is not null").select(F.col("doc_id").alias("__none")))
-    return docs.join(none, col(id_col).cast("long") == F.col("__none"), "left_anti")
+    rows = [(list(p), base[p], sum(held[s] for s in p), float(sum(target[s] for s in p)), mark[p]) for p in whole]
+    return spark.createDataFrame(rows, "q array<string>, base long, source_size long, target double, m long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, **how) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies) for every row of docs; source_col may also hold an array of sources.
+
+    size is the number of words of the whole text (null: 0). Sources in order of code points, null last, have the
+    weights in turn; targets are share times all sizes dealt by weight, at most repeats times the source's size.
+    Documents with the same set of sources make a pattern (none: that of the null source); a min-cost flow routes the
+    patterns' words to the quotas, the n-th copy of a word at cost n - 1. A pattern's whole copies go to all its
+    documents, the rest to those that come first in a seeded order of (doc_id, text), up to the document nearest the
+    quota. source_size and target of a document with several sources are sums over them. Rows that are wholly equal
+    share their place in the order. An empty table gives an empty result.
+    """
+    cuts = Cuts(docs.sparkSession, "mix")
+    facts = _facts(docs, id_col, text_col, source_col, seed)
+    facts = cuts.cut(facts.select(col(id_col).cast("long").alias("doc_id"), "__size", "__p", "__h"))
+    known = plan(facts, **how)
+    copies = F.col("base") + F.when(F.col("__h") < F.col("m"), 1).otherwise(0)
+    joined = facts.join(F.broadcast(known), F.col("__p").eqNullSafe(F.col("q")))
+    return joined.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, **how) -> DataFrame:
+    """docs as the mix takes them: each row as many times as it has copies (see mix), with the columns of docs."""
+    cuts = Cuts(docs.sparkSession, "mixed")
+    facts = _facts(docs, id_col, text_col, source_col, seed)
+    known = plan(cuts.cut(facts.select("__size", "__p", "__h")), **how).select("q", "base", "m")
+    joined = facts.join(F.broadcast(known), F.col("__p").eqNullSafe(F.col("q")))
+    copies = (F.col("base") + F.when(F.col("__h") < F.col("m"), 1).otherwise(0)).cast("int")
+    return joined.select(*[col(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias("__copy")).drop("__copy")
