@@ -88,7 +88,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def components(cuts: Cuts, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges(a, b): root is the component's smallest node.
+    """(node, root) for every node of edges(a, b) but the roots: root is the component's smallest node.
 
     Alternating large-star and small-star steps on distributed edges; each round is a written table. Minima are
     combined before the shuffle, so a node with very many edges costs one row per task.

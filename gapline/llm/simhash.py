@@ -19,6 +19,7 @@ from gapline.llm.common import Cuts, col, components, forest, mix, partitions, s
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 SMALL = 64  #: pairs of nodes with at most so many pairs of fingerprints are compared directly
+GROUP_BYTES = 32 << 20  #: of shingle sets that one task holds to compare a candidate group's pairs
 CHUNK = 1 << 18  #: pairs of nodes expanded at a time
 
 
@@ -183,6 +184,36 @@ def word_fingerprints(w: list[bytes], tables: int) -> list[int]:
     return [signed(majority(mix(h + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).astype(">u8").view(np.uint8))) for t in range(tables)]
 
 
+def bloom_filter(ids: DataFrame, most_bits: int = 26) -> np.ndarray | None:
+    """A bit per slot, at most 8 MB, for ids(node); None where there are too many ids for it to tell much."""
+    n = ids.count()
+    bits = min(most_bits, max(16, (16 * n).bit_length()))
+    if 4 * n > 1 << bits:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.zeros(1 << bits, bool)
+        for b in batches:
+            for x in probes(b.column(0).to_numpy(), bits):
+                slots[x] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(slots).tobytes()], pa.binary())], ["v"])
+
+    parts = [np.frombuffer(r.v, np.uint8) for r in ids.repartition(4).mapInArrow(run, "v binary").collect()]
+    return np.bitwise_or.reduce(parts) if parts else np.zeros((1 << bits) // 8, np.uint8)
+
+
+def probes(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return [(h >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s in (0, 32)]
+
+
+def in_filter(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.ones(len(ids), bool)
+    for x in probes(ids, (8 * len(packed)).bit_length() - 1):
+        out &= (packed[x >> np.uint64(3)] >> (np.uint64(7) - (x & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, tables: int = 16, budget: int = 3) -> DataFrame:
     """(doc_id, component_id, n_rows): groups linked by a Jaccard similarity of k-word shingle sets of at least similarity.
 
@@ -219,27 +250,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = flat.join(by_fp.withColumnRenamed("rep", "x"), ["table", "fp"]).where("rep <> x").select("x", F.col("rep").alias("y"))
     pairs = cuts.cut(pairs.union(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct())
 
+    # Sets of the documents in some pair; a bounded filter spares the others' texts the exchange.
+    groups = components(cuts, pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    groups = groups.union(groups.select("root", "root").distinct())
+    maybe = spark.sparkContext.broadcast(bloom_filter(groups.select("node")))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if maybe.value is not None:
+                b = b.filter(pa.array(in_filter(maybe.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
             out = []
             for t in texts(b.column(1)):
                 out.append(np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingles(words(t), k)], np.uint64)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "s"])
 
-    involved = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    held = cuts.cut(kept.join(involved, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]))
+    held = kept.where("id is not null").select("id", "text").mapInArrow(sets, "id long, s binary")
+    held = cuts.cut(held.join(groups, held.id == groups.node).select("id", "s", "root").dropDuplicates(["id"]))
+    large = cuts.cut(held.groupBy("root").agg(F.sum(F.octet_length("s")).alias("size")).where(F.col("size") > GROUP_BYTES).select("root"))
+    linked = pairs.join(groups, pairs.x == groups.node).select("root", "x", "y")
+
+    def similar(p: bytes, q: bytes) -> bool:
+        p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        return both >= similarity * (len(p) + len(q) - both) - 1e-9
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a group its sets come first, then its pairs."""
+        now, known = None, {}
+        for b in batches:
+            good = []
+            for root, x, y, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if root != now:
+                    now, known = root, {}
+                if y is None:
+                    known[x] = v
+                elif similar(known[x], known[y]):
+                    good.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([g[n] for g in good], pa.int64()) for n in (0, 1)], ["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+            ok = [similar(p, q) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(held.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(held.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
-    good = both.select("x", "y", "sx", "sy").mapInArrow(compare, "a long, b long")
+    own = held.select("root", F.col("id").alias("x"), F.lit(None).cast("long").alias("y"), "s")
+    small = own.union(linked.withColumn("s", F.lit(None).cast("binary"))).join(large, "root", "left_anti").select("root", "x", "y", "s")
+    good = small.repartition(partitions(spark), "root").sortWithinPartitions("root", F.col("y").asc_nulls_first()).mapInArrow(within, "a long, b long")
+    # Groups too large for one task to hold: each pair brings its sets along.
+    many = linked.join(large, "root", "left_semi")
+    many = many.join(held.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(held.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
+    good = good.union(many.select("x", "y", "sx", "sy").mapInArrow(compare, "a long, b long"))
     roots = components(cuts, good)
     reps = low.join(roots, low.rep == roots.node, "left").select("cls", F.coalesce("root", "rep").alias("component_id"))
     out = each.groupBy("id", "cls").agg(F.count("*").alias("n_rows")).join(reps, "cls")
