@@ -103,14 +103,21 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     sized = facts.select("a", F.xxhash64("digest").alias("b"), (F.col("size") + 400).alias("size"))
     parts = max(1, -(-(sized.agg(F.sum("size")).first()[0] or 0) // part_bytes))
     splits = split(sized, parts, parts, tolerance=0.05, whole=False)
-    known = rows.withColumn("digest", digest).join(copies, F.col("digest") == F.col("d"), "left").select("page_id", "url", "payload", "digest", "first", order.alias("a"))
-    moved = exchange(known, splits, F.col("a"), F.xxhash64("digest"), [F.col("digest"), F.col("url").asc_nulls_first()], "part", "slot")
+    # A mark per page with copies goes ahead of its payload rows, which so needn't be joined by digest.
+    none = F.lit(None)
+    marks = facts.join(copies, F.col("digest") == F.col("d")).select("page_id", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "digest", "a", "first", F.lit(0).alias("kind")).distinct()
+    known = marks.union(rows.select("page_id", "url", "payload", digest.alias("digest"), order.alias("a"), none.cast("long").alias("first"), F.lit(1).alias("kind")))
+    moved = exchange(known, splits, F.col("a"), F.xxhash64("digest"), [F.col("digest"), F.col("kind"), F.col("url").asc_nulls_first()], "part", "slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, before = None, None
+        files, mark, before = None, (), None
         for b in batches:
-            for page_id, url, payload, digest, first, a, part in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "payload", "digest", "first", "a", "part")), strict=True):
+            for page_id, url, payload, digest, a, first, kind, part in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "payload", "digest", "a", "first", "kind", "part")), strict=True):
+                if not kind:
+                    mark = (a, digest, first)
+                    continue
                 files = files or Roll(folder, part, roll_bytes)
+                first = mark[2] if mark[:2] == (a, digest) else None
                 revisit = first is not None and (a != first or before == (a, digest))
                 before = (a, digest)
                 files.add(member(record(page_id, url, payload, digest, None if first == NULL_LAST else first, revisit, date)))
