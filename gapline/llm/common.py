@@ -128,3 +128,56 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+
+
+def bloom_filter(ids: DataFrame, most_bits: int = 26) -> np.ndarray | None:
+    """A bit per slot, at most 8 MB, for one column of ids; None where there are too many ids for it to tell much."""
+    n = ids.count()
+    bits = min(most_bits, max(16, (16 * n).bit_length()))
+    if 4 * n > 1 << bits:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.zeros(1 << bits, bool)
+        for b in batches:
+            for x in probes(b.column(0).to_numpy(), bits):
+                slots[x] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(slots).tobytes()], pa.binary())], ["v"])
+
+    parts = [np.frombuffer(r.v, np.uint8) for r in ids.repartition(4).mapInArrow(run, "v binary").collect()]
+    return np.bitwise_or.reduce(parts) if parts else np.zeros((1 << bits) // 8, np.uint8)
+
+
+def probes(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return [(h >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s in (0, 32)]
+
+
+def in_filter(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.ones(len(ids), bool)
+    for x in probes(ids, (8 * len(packed)).bit_length() - 1):
+        out &= (packed[x >> np.uint64(3)] >> (np.uint64(7) - (x & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
+def without_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """df less the rows whose id is among ids (one column); rows with a null id stay.
+
+    Rows that a bounded filter of ids rules out pass as they are; only the others meet ids in a join.
+    """
+    gone = ids.select(F.col(ids.columns[0]).cast("long").alias("__gone")).where("__gone is not null").distinct()
+    own = col(id_col).cast("long")
+    packed = bloom_filter(gone)
+    if packed is None:
+        return df.join(gone, own == F.col("__gone"), "left_anti")
+    sent = df.sparkSession.sparkContext.broadcast(packed)
+
+    @F.pandas_udf("boolean")
+    def maybe(x):
+        import pandas as pd
+
+        return pd.Series(in_filter(sent.value, x.to_numpy(np.int64)))
+
+    told = df.withColumn("__maybe", maybe(F.coalesce(own, F.lit(-(1 << 63)))) & own.isNotNull())
+    rest = told.where("__maybe").join(gone, own == F.col("__gone"), "left_anti")
+    return told.where("not __maybe").union(rest).drop("__maybe")

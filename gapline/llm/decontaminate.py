@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import Cuts, col, mix, shingles, texts, without, words
+from gapline.llm.common import Cuts, col, mix, shingles, texts, without_ids, words
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,5 +120,4 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """docs without those that contain a benchmark item (see search). Rows with a null id stay."""
     cuts = Cuts(docs.sparkSession, "leaks")
-    leaks = cuts.cut(search(docs, items, id_col, **how).select(F.col("doc_id").alias("__leak")).where("__leak is not null").distinct())
-    return docs.join(leaks, col(id_col).cast("long") == F.col("__leak"), "left_anti")
+    return without_ids(docs, id_col, cuts.cut(search(docs, items, id_col, **how).select("doc_id")))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import Cuts, col, texts, without
+from gapline.llm.common import Cuts, col, texts, without_ids
 
 WORD_END = re.compile(rb"[#$%&*!|<>{}\[\]=+~^_\\](?=[\x20\x09-\x0D]|$)")
 BINS = 4096  #: of raw scores, for calibration
@@ -191,5 +191,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """docs less those whose predicted label is 0. Rows with a null id stay; of rows that share an id, all go if one is rejected."""
     cuts = Cuts(docs.sparkSession, "rejected")
-    bad = cuts.cut(classify(docs, labels, id_col, **how).where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(bad, col(id_col).cast("long") == F.col("__bad"), "left_anti")
+    return without_ids(docs, id_col, cuts.cut(classify(docs, labels, id_col, **how).where("predicted = 0").select("doc_id")))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import Cuts, col, components, forest, mix, partitions, shingles, texts, without, words
+from gapline.llm.common import Cuts, bloom_filter, col, components, forest, in_filter, mix, partitions, shingles, texts, without, without_ids, words
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 SMALL = 64  #: pairs of nodes with at most so many pairs of fingerprints are compared directly
@@ -184,36 +184,6 @@ def word_fingerprints(w: list[bytes], tables: int) -> list[int]:
     return [signed(majority(mix(h + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).astype(">u8").view(np.uint8))) for t in range(tables)]
 
 
-def bloom_filter(ids: DataFrame, most_bits: int = 26) -> np.ndarray | None:
-    """A bit per slot, at most 8 MB, for ids(node); None where there are too many ids for it to tell much."""
-    n = ids.count()
-    bits = min(most_bits, max(16, (16 * n).bit_length()))
-    if 4 * n > 1 << bits:
-        return None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.zeros(1 << bits, bool)
-        for b in batches:
-            for x in probes(b.column(0).to_numpy(), bits):
-                slots[x] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(slots).tobytes()], pa.binary())], ["v"])
-
-    parts = [np.frombuffer(r.v, np.uint8) for r in ids.repartition(4).mapInArrow(run, "v binary").collect()]
-    return np.bitwise_or.reduce(parts) if parts else np.zeros((1 << bits) // 8, np.uint8)
-
-
-def probes(ids: np.ndarray, bits: int) -> list[np.ndarray]:
-    h = mix(ids.astype(np.int64).view(np.uint64))
-    return [(h >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s in (0, 32)]
-
-
-def in_filter(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    out = np.ones(len(ids), bool)
-    for x in probes(ids, (8 * len(packed)).bit_length() - 1):
-        out &= (packed[x >> np.uint64(3)] >> (np.uint64(7) - (x & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
-    return out
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, tables: int = 16, budget: int = 3) -> DataFrame:
     """(doc_id, component_id, n_rows): groups linked by a Jaccard similarity of k-word shingle sets of at least similarity.
 
@@ -311,12 +281,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows without an id stay. Of several rows with the id that stays, one remains.
     """
-    classes = near_duplicates(docs, id_col, text_col, **how).where("doc_id = component_id")
     cuts = Cuts(docs.sparkSession, "keepone")
-    classes = cuts.cut(classes.select(F.col("doc_id").alias("__keep"), F.col("n_rows").alias("__rows")))
-    joined = docs.join(classes, col(id_col).cast("long") == F.col("__keep"), "left")
-    kept = joined.where(F.col("__keep").isNotNull() | col(id_col).isNull())
-    once = without(kept.where("__rows is null or __rows = 1"), "__keep", "__rows")
-    if not classes.where("__rows > 1").isEmpty():
-        once = once.unionByName(without(kept.where("__rows > 1").dropDuplicates(["__keep"]), "__keep", "__rows"))
-    return once
+    classes = cuts.cut(near_duplicates(docs, id_col, text_col, **how))
+    once = without_ids(docs, id_col, classes.where("doc_id <> component_id").select("doc_id"))
+    repeated = classes.where("doc_id = component_id and n_rows > 1").select("doc_id")
+    if repeated.isEmpty():
+        return once
+    several = once.join(repeated.withColumnRenamed("doc_id", "__several"), col(id_col).cast("long") == F.col("__several"))
+    return without_ids(once, id_col, repeated).unionByName(without(several.dropDuplicates(["__several"]), "__several"))
