@@ -38,8 +38,7 @@ class Cone:
         c0, c1, c2, c3 = self.corner
         if turn(c0, c2, (c0[0] + hi[0] - c2[0], c0[1] + hi[1] - c2[1])) < 0 or turn(c1, c3, (c1[0] + lo[0] - c3[0], c1[1] + lo[1] - c3[1])) > 0:
             return False
-        shrink_top, raise_bottom = turn(c1, c3, hi) < 0, None
-        if shrink_top:  # hi lies below the steepest line: turn it about the lower hull
+        if turn(c1, c3, hi) < 0:  # hi lies below the steepest line: turn it about the lower hull
             k = self.l
             while k + 1 < len(self.lower) and turn(hi, self.lower[k], self.lower[k + 1]) <= 0:
                 k += 1
@@ -47,8 +46,7 @@ class Cone:
             while len(self.upper) >= self.u + 2 and turn(self.upper[-2], self.upper[-1], hi) <= 0:
                 self.upper.pop()
             self.upper.append(hi)
-        raise_bottom = turn(c0, c2, lo) > 0
-        if raise_bottom:  # lo lies above the flattest line: turn it about the upper hull
+        if turn(c0, c2, lo) > 0:  # lo lies above the flattest line: turn it about the upper hull
             k = self.u
             while k + 1 < len(self.upper) and turn(lo, self.upper[k], self.upper[k + 1]) >= 0:
                 k += 1

@@ -5,11 +5,212 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gapline.functions.columns import fill_ones, unzigzag, zigzag
+from gapline.operators import codec, gaps, partition, search, stats, validate
+from gapline.plans.index import build
+from gapline.sources import views
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def keyed(view: str) -> Query:
+    return lambda s, d: stats.positions(views.VIEWS[view](s, d))
+
+
+def keyed_sql(view: str) -> str:
+    return f"SELECT list_id, row_number() OVER (PARTITION BY list_id ORDER BY doc_id) - 1 AS pos, doc_id FROM ({views.SQL[view]})"
+
+
+def page_sql(view: str) -> str:
+    return f"""SELECT list_id, page, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id, count(gap) AS ng, coalesce(sum(gap), 0)::BIGINT AS sg, coalesce(sum(gap * gap), 0)::BIGINT AS sq
+FROM (SELECT *, doc_id - lag(doc_id) OVER (PARTITION BY list_id, page ORDER BY pos) AS gap FROM (SELECT *, pos // 1024 AS page FROM ({keyed_sql(view)}))) GROUP BY list_id, page"""
+
+
+def model_sql(view: str, scale: int) -> str:
+    e = f"ceil(sqrt(2 * ln(CAST(2 AS DOUBLE)) * CAST(0.109967 AS DOUBLE) * {scale} * v * (n - 1) / n))"
+    cost = f"(n - 1) * greatest(0, 1.957::DOUBLE + 0.5 * log2(CAST(0.109967 AS DOUBLE) * {scale} * v))"
+    return f"""SELECT list_id, page, n, CASE WHEN n < 2 OR v <= 0 THEN 1 ELSE (1 << length(bin(greatest(1, {e})::BIGINT))) - 1 END::BIGINT AS epsilon, round(CASE WHEN n < 2 OR v <= 0 THEN 0 ELSE {cost} END, 6) AS cost
+FROM (SELECT *, CASE WHEN ng >= 2 THEN (ng::HUGEINT * sq - sg::HUGEINT * sg)::DOUBLE / (ng * (ng - 1))::DOUBLE ELSE 0 END AS v FROM ({page_sql(view)}))"""
+
+
+def hits_sql(view: str, k: int, source: str | None = None) -> str:
+    return f"""SELECT t.query_id, p.doc_id, count(*) AS c, any_value(t.k) AS k FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS k FROM ({views.queries_sql(view, k)})) t
+JOIN ({source or views.SQL[view]}) p ON p.list_id = t.list_id GROUP BY t.query_id, p.doc_id"""
+
+
+def counts_sql(view: str, k: int, op: str) -> str:
+    n = "coalesce(sum(CASE WHEN c = k THEN 1 END), 0)" if op == "and" else "count(*)"
+    return f"SELECT query_id, {n}::BIGINT AS n FROM ({hits_sql(view, k)}) GROUP BY query_id"
+
+
+TERMS = {"line": views.line_queries, "qty": views.qty_queries}
+
+
+def _search(op: str, view: str, k: int, how: Callable = None) -> Query:
+    f = how or {"and": search.and_query, "or": search.or_query}[op]
+    return lambda s, d: f(views.VIEWS[view](s, d), TERMS[view](s, k))
+
+
+def _index(view: str, **how) -> Query:
+    return lambda s, d: build(keyed(view)(s, d), **how)
+
+
+def _decode(view: str, **how) -> Query:
+    return lambda s, d: codec.decode(_index(view, **how)(s, d))
+
+
+def _over_index(op: str) -> Query:
+    f = {"and": search.and_query, "or": search.or_query}[op]
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return f(codec.decode(build(keyed("line")(s, d), 63)), views.line_queries(s, 2))
+
+    return run
+
+
+def _baseline(op: str) -> Query:
+    f = {"and": search.and_query, "or": search.or_query}[op]
+    return lambda s, d: f(gaps.decode(gaps.encode(keyed("line")(s, d))), views.line_queries(s, 3))
+
+
+def _probes(s: SparkSession, d: str) -> DataFrame:
+    return views.supp(s, d).where("doc_id % 97 = 0").select("list_id", (F.col("doc_id") + 1).alias("x"))
+
+
+PROBES_SQL = f"SELECT DISTINCT list_id, doc_id + 1 AS x FROM ({views.SQL['supp']}) WHERE doc_id % 97 = 0"
+
+
+def _tile(method: str, view: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        b = partition.blocks(stats.pages(keyed(view)(s, d)), 16, "none", method)
+        return b.groupBy("list_id").agg(F.sum(F.col("end_idx") - F.col("start_idx")).cast("bigint").alias("n"), F.min("start_idx").alias("first"), F.max("end_idx").alias("last"))
+
+    return run
+
+
+def tile_sql(view: str) -> str:
+    return f"SELECT list_id, count(*)::BIGINT AS n, 0::BIGINT AS first, count(*)::BIGINT AS last FROM ({views.SQL[view]}) GROUP BY list_id"
+
+
+def _zigzag(s: SparkSession, d: str) -> DataFrame:
+    x = views.supp(s, d).select((F.col("list_id") - F.col("doc_id")).alias("x")).distinct()
+    return x.withColumn("z", zigzag(F.col("x"))).withColumn("back", unzigzag(F.col("z")))
+
+
+def _page_model(view: str, variant: str) -> Query:
+    return lambda s, d: stats.page_model(stats.pages(keyed(view)(s, d)), variant).select("list_id", "page", "n", "epsilon", F.round("cost", 6).alias("cost"))
+
+
+def _invariants(s: SparkSession, d: str) -> DataFrame:
+    """Per list: keys covered, and how many residuals exceed their bound or anchors stand outside their segment."""
+    r = codec.residuals(build(keyed("qty")(s, d), 15))
+    return r.groupBy("list_id").agg(F.count("*").alias("n"), F.sum((F.abs("residual") > F.col("epsilon")).cast("bigint")).alias("over"), F.sum(((F.col("x_b") < F.col("first")) | (F.col("delta_x") <= 0)).cast("bigint")).alias("odd"))
+
+
+def _gap_blocks(s: SparkSession, d: str) -> DataFrame:
+    return gaps.encode(keyed("supp")(s, d)).select("list_id", "block_no", F.col("n").cast("bigint").alias("n"), "block_max", F.array_join(F.transform("gaps", lambda x: x.cast("string")), ",").alias("gaps"))
+
+
+def queries() -> dict[str, Query]:
+    q: dict[str, Query] = {}
+    for v in views.VIEWS:
+        q[f"postings_{v}"] = keyed(v)
+    q["list_stats"] = lambda s, d: stats.list_stats(keyed("cust")(s, d)).select("list_id", "n", "min_id", "max_id", F.round("mean_gap", 6).alias("mean_gap"), F.round("var_pop", 3).alias("var_pop"))
+    q["page_stats"] = lambda s, d: stats.pages(keyed("event_type")(s, d)).withColumn("sum_gap2", F.col("sum_gap2").cast("bigint"))
+    q["page_minmax_var"] = lambda s, d: stats.page_extremes(stats.pages(keyed("qty")(s, d))).select("list_id", "n_pages", F.round("max_var", 6).alias("max_var"), F.round("min_var", 6).alias("min_var"))
+    q["page_eps_none"] = _page_model("event_type", "none")
+    q["page_eps_pfor"] = _page_model("qty", "pfor")
+    q["page_cost"] = _page_model("line", "none")
+    q["gap_prefix"] = lambda s, d: stats.gap_prefix(keyed("line")(s, d))
+    q["blocks_greedy"] = _tile("greedy", "event_type")
+    q["blocks_optimal"] = _tile("optimal", "line")
+    q["eps_histogram"] = lambda s, d: partition.epsilon_histogram(partition.blocks(stats.pages(keyed("qty")(s, d))))
+    q["unparted_lists"] = lambda s, d: partition.unparted(partition.blocks(stats.pages(keyed("qty")(s, d))))
+    for e in (1, 15, 63, 255):
+        q[f"decode_fixed_eps{e}"] = _decode("supp" if e < 63 else "qty", epsilon=e)
+    q["decode_auto_none"] = _decode("line")
+    q["decode_auto_optimal"] = _decode("event_type", method="optimal", m=4)
+    q["decode_auto_pfor"] = lambda s, d: codec.decode_codes(codec.delta_codes(_index("line", variant="pfor")(s, d)))
+    q["decode_token"] = _decode("token", epsilon=63)
+    q["verify_mismatches"] = lambda s, d: validate.mismatches(views.cust(s, d), codec.decode(build(keyed("cust")(s, d), 31)))
+    q["residual_bound"] = _invariants
+    q["segment_widths"] = lambda s, d: codec.index_sizes(_index("qty", epsilon=15)(s, d)).drop("sign_bytes", "correction_bytes", "segment_bytes", "total_bytes")
+    q["index_size"] = lambda s, d: codec.index_stats(codec.index_sizes(_index("qty")(s, d)))
+    q["index_size_pfor"] = lambda s, d: codec.index_stats(codec.index_sizes(_index("qty", variant="pfor")(s, d), "pfor"))
+    q["list_size"] = lambda s, d: codec.list_sizes(codec.index_sizes(_index("qty")(s, d)))
+    q["zigzag_roundtrip"] = _zigzag
+    q["gap128_blocks"] = _gap_blocks
+    q["gap128_decode"] = lambda s, d: gaps.decode(gaps.encode(keyed("part")(s, d)))
+    q["gap128_widths"] = lambda s, d: gaps.widths(gaps.encode(keyed("supp")(s, d)))
+    q["gap128_size"] = lambda s, d: gaps.sizes(gaps.encode(keyed("supp")(s, d))).select("n", "packed_bytes", "orig_bytes", F.round("ratio", 6).alias("ratio"), F.round("bpi", 6).alias("bpi"))
+    for k in (2, 3, 4, 5):
+        for op in ("and", "or"):
+            q[f"{op}_{k}"] = _search(op, "line", k)
+            q[f"{op}_{k}_counts"] = lambda s, d, op=op, k=k: search.counts(_search(op, "qty", k)(s, d), views.qty_queries(s, k))
+    q["and_array"] = _search("and", "line", 3, lambda p, t: search.by_arrays(p, t, "and"))
+    q["or_array"] = _search("or", "line", 3, lambda p, t: search.by_arrays(p, t, "or"))
+    q["and_bitmap"] = _search("and", "line", 3, lambda p, t: search.bitmap_counts(p, t, "and"))
+    q["or_bitmap"] = _search("or", "line", 3, lambda p, t: search.bitmap_counts(p, t, "or"))
+    q["and_semi"] = _search("and", "line", 3, search.and_semi)
+    q["and_not"] = _search("and", "line", 2, search.and_not)
+    q["and_total_size"] = lambda s, d: _search("and", "qty", 3)(s, d).agg(F.count("*").alias("total_size"))
+    q["or_total_size"] = lambda s, d: _search("or", "qty", 3)(s, d).agg(F.count("*").alias("total_size"))
+    q["query_load_stats"] = lambda s, d: search.load_stats(views.qty(s, d), views.qty_queries(s, 4))
+    q["nextgeq_probe"] = lambda s, d: search.next_geq(keyed("supp")(s, d), _probes(s, d))
+    q["nextgeq_skipped"] = lambda s, d: search.skipped(keyed("supp")(s, d), _probes(s, d))
+    q["cursor_next"] = lambda s, d: search.cursor(keyed("event_user")(s, d))
+    q["term_dedup"] = lambda s, d: search.clean_terms(views.line_queries(s, 9)).select("query_id", F.array_join(F.transform("terms", lambda x: x.cast("string")), ",").alias("terms"), "k")
+    q["query_validate"] = lambda s, d: search.valid_queries(views.line_queries(s, 1).union(views.line_queries(s, 8))).select("query_id", "k")
+    q["all_ones"] = lambda s, d: views.supp(s, d).select("doc_id").distinct().withColumn("ones", fill_ones(F.col("doc_id")))
+    q["and_over_index"], q["or_over_index"] = _over_index("and"), _over_index("or")
+    q["and_over_gap128"], q["or_over_gap128"] = _baseline("and"), _baseline("or")
+    return q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    o = {f"postings_{v}": keyed_sql(v) for v in views.VIEWS}
+    o["list_stats"] = f"""SELECT list_id, n, min_id, max_id, round(s::DOUBLE / m, 6) AS mean_gap, round((m * q - s * s)::DOUBLE / (m::DOUBLE * m::DOUBLE), 3) AS var_pop
+FROM (SELECT list_id, count(*) AS n, min(doc_id) AS min_id, max(doc_id) AS max_id, nullif(count(*) - 1, 0)::HUGEINT AS m, (max(doc_id) - min(doc_id))::HUGEINT AS s, sum(gap * gap)::HUGEINT AS q
+FROM (SELECT *, doc_id - lag(doc_id) OVER (PARTITION BY list_id ORDER BY doc_id) AS gap FROM ({views.SQL['cust']})) GROUP BY list_id)"""
+    o["page_stats"] = f"SELECT list_id, page, n, first_id, last_id, ng AS n_gaps, sg AS sum_gap, sq AS sum_gap2 FROM ({page_sql('event_type')})"
+    o["page_minmax_var"] = f"""SELECT list_id, count(*) AS n_pages, round(max(v), 6) AS max_var, round(min(v), 6) AS min_var
+FROM (SELECT *, CASE WHEN ng >= 2 THEN (ng::HUGEINT * sq - sg::HUGEINT * sg)::DOUBLE / (ng * (ng - 1))::DOUBLE WHEN ng > 0 THEN 0 END AS v FROM ({page_sql('qty')})) GROUP BY list_id"""
+    o["page_eps_none"], o["page_eps_pfor"], o["page_cost"] = model_sql("event_type", 136), model_sql("qty", 27200), model_sql("line", 136)
+    o["gap_prefix"] = f"""SELECT list_id, pos, gap, coalesce(sum(gap) OVER w, 0)::BIGINT AS sum_gap, coalesce(sum(gap * gap) OVER w, 0)::BIGINT AS sum_gap2
+FROM (SELECT *, doc_id - lag(doc_id) OVER (PARTITION BY list_id ORDER BY pos) AS gap FROM ({keyed_sql('line')})) WINDOW w AS (PARTITION BY list_id ORDER BY pos ROWS UNBOUNDED PRECEDING)"""
+    o["blocks_greedy"], o["blocks_optimal"] = tile_sql("event_type"), tile_sql("line")
+    for name, v in {"fixed_eps1": "supp", "fixed_eps15": "supp", "fixed_eps63": "qty", "fixed_eps255": "qty", "auto_none": "line", "auto_optimal": "event_type", "auto_pfor": "line", "token": "token"}.items():
+        o[f"decode_{name}"] = keyed_sql(v)
+    o["verify_mismatches"] = f"SELECT DISTINCT list_id, 0::BIGINT AS n_unequal FROM ({views.SQL['cust']})"
+    o["residual_bound"] = f"SELECT list_id, count(*) AS n, 0::BIGINT AS over, 0::BIGINT AS odd FROM ({views.SQL['qty']}) GROUP BY list_id"
+    o["zigzag_roundtrip"] = f"SELECT DISTINCT x, CASE WHEN x >= 0 THEN 2 * x ELSE -2 * x - 1 END AS z, x AS back FROM (SELECT list_id - doc_id AS x FROM ({views.SQL['supp']}))"
+    gap = f"SELECT list_id, pos, pos // 128 AS block_no, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY list_id ORDER BY pos), -1) - 1 AS gap FROM ({keyed_sql('supp')})"
+    o["gap128_blocks"] = f"SELECT list_id, block_no, count(*) AS n, max(doc_id) AS block_max, string_agg(gap::VARCHAR, ',' ORDER BY pos) AS gaps FROM ({gap}) GROUP BY list_id, block_no"
+    o["gap128_decode"] = keyed_sql("part")
+    width = f"SELECT list_id, block_no, count(*) AS n, (CASE WHEN max(gap) = 0 THEN 0 ELSE length(bin(max(gap))) END)::BIGINT AS width FROM ({gap}) GROUP BY list_id, block_no"
+    o["gap128_widths"] = f"SELECT list_id, block_no, width FROM ({width})"
+    o["gap128_size"] = f"""SELECT n, packed_bytes, n * 4 AS orig_bytes, round(n * 400 / packed_bytes, 6) AS ratio, round(packed_bytes * 8 / n, 6) AS bpi
+FROM (SELECT sum(n)::BIGINT AS n, sum((n * width + 31) // 32 * 4 + 8)::BIGINT AS packed_bytes FROM ({width}))"""
+    for k in (2, 3, 4, 5):
+        o[f"and_{k}"] = f"SELECT query_id, doc_id FROM ({hits_sql('line', k)}) WHERE c = k"
+        o[f"or_{k}"] = f"SELECT query_id, doc_id FROM ({hits_sql('line', k)})"
+        for op in ("and", "or"):
+            o[f"{op}_{k}_counts"] = counts_sql("qty", k, op)
+    o["and_array"] = o["and_semi"] = o["and_over_gap128"] = o["and_3"]
+    o["or_array"] = o["or_over_gap128"] = o["or_3"]
+    o["and_bitmap"], o["or_bitmap"] = (f"SELECT query_id, n FROM ({counts_sql('line', 3, op)}) WHERE n > 0" for op in ("and", "or"))
+    line = views.SQL["line"]
+    o["and_not"] = f"SELECT q AS query_id, doc_id FROM range(7) r(q) JOIN ({line}) a ON a.list_id = q % 7 + 1 WHERE NOT EXISTS (SELECT 1 FROM ({line}) b WHERE b.list_id = (q + 1) % 7 + 1 AND b.doc_id = a.doc_id)"
+    o["and_total_size"] = f"SELECT sum(n)::BIGINT AS total_size FROM ({counts_sql('qty', 3, 'and')})"
+    o["or_total_size"] = f"SELECT sum(n)::BIGINT AS total_size FROM ({counts_sql('qty', 3, 'or')})"
+    o["query_load_stats"] = f"""SELECT query_id, count(*) AS n_lists, sum(n)::BIGINT AS total_size, avg(n) AS avg_size FROM ({views.queries_sql('qty', 4)}) JOIN (SELECT list_id, count(*) AS n FROM ({views.SQL['qty']}) GROUP BY list_id) USING (list_id) GROUP BY query_id"""
+    o["nextgeq_probe"] = f"SELECT p.list_id, p.x, min(s.doc_id) AS doc_id FROM ({PROBES_SQL}) p LEFT JOIN ({views.SQL['supp']}) s ON s.list_id = p.list_id AND s.doc_id >= p.x GROUP BY p.list_id, p.x"
+    o["nextgeq_skipped"] = f"SELECT p.list_id, p.x, min(s.pos) // 128 * 128 AS n_skipped FROM ({PROBES_SQL}) p JOIN ({keyed_sql('supp')}) s ON s.list_id = p.list_id AND s.doc_id >= p.x GROUP BY p.list_id, p.x"
+    o["cursor_next"] = f"SELECT list_id, doc_id, lead(doc_id) OVER (PARTITION BY list_id ORDER BY doc_id) AS next_id FROM ({views.SQL['event_user']})"
+    o["term_dedup"] = "SELECT query_id, string_agg(list_id::VARCHAR, ',' ORDER BY list_id) AS terms, count(*) AS k FROM (" + views.queries_sql("line", 9) + ") GROUP BY query_id"
+    o["query_validate"] = "SELECT q AS query_id, 7::BIGINT AS k FROM range(7) r(q)"
+    o["all_ones"] = f"SELECT DISTINCT doc_id, CASE WHEN doc_id = 0 THEN 0 ELSE (1 << length(bin(doc_id))) - 1 END::BIGINT AS ones FROM ({views.SQL['supp']})"
+    o["and_over_index"], o["or_over_index"] = o["and_2"], o["or_2"]
+    return o
