@@ -195,5 +195,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copy = F.coalesce(F.col("low") < F.col("id"), F.lit(False))
     cols = [F.col("id").alias("doc_id"), "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"), F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256")]
     if keep_text:
-        return out.join(kept.dropDuplicates(["id", "key"]), ["id", "key"], "left").select(*cols, F.when(copy, F.lit("")).otherwise(F.coalesce(F.col("left").cast("string"), "text")).alias("kept"))
+        joined = F.array_join(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)), " ")
+        source = kept.select(F.col("key").alias("k"), joined.alias("joined")).dropDuplicates(["k"])
+        out = out.join(source, F.col("key") == F.col("k"))
+        return out.select(*cols, F.when(copy, F.lit("")).otherwise(F.coalesce(F.col("left").cast("string"), "joined")).alias("kept"))
     return out.select(*cols)

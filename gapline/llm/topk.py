@@ -34,12 +34,13 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
 
 
 def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of rows of q and p (whole numbers as doubles); int64, or Python integers where those don't fit."""
+    """Exact integer inner products of rows of q and p (whole numbers as doubles), kept within the range of a long."""
     most = np.abs(q).max(initial=0) * np.abs(p).max(initial=0) * max(1, q.shape[1])
     if most < 2**53:
         return (q @ p.T).astype(np.int64)
     big = [[int(x) for x in r] for r in q], [[int(x) for x in r] for r in p]
-    return np.array([[sum(map(int.__mul__, x, y)) for y in big[1]] for x in big[0]], object).reshape(len(q), len(p))
+    low, high = -(1 << 63), (1 << 63) - 1
+    return np.array([[min(max(sum(map(int.__mul__, x, y)), low), high) for y in big[1]] for x in big[0]], np.int64).reshape(len(q), len(p))
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -100,7 +101,7 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to the smaller vec_id.
 
     Queries are the rows whose id is divisible by every; candidates are all rows but those with the query's own id
-    and those of another dimension. Vectors that are null or hold a null or non-finite component take no part. Rows
+    and those of another dimension; scores stay within a long. Vectors that are null or hold a null or non-finite component take no part. Rows
     repeated as a whole count once each as candidates and once together as a query; of several vectors with one query
     id, the smallest is the query. Queries go out in blocks of at most block rows, each a pass over all candidates.
     """
@@ -130,8 +131,7 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
                             bucket.search(qid, q, k, *held.setdefault(n, ([], [])))
             for n, (scores, ids) in held.items():
                 if ids:
-                    low, high = -(1 << 63), (1 << 63) - 1
-                    yield pa.RecordBatch.from_arrays([pa.array([sent.value[n][0]] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array([min(max(int(s), low), high) for s in scores], pa.int64())], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([sent.value[n][0]] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
 
         part = all_.mapInArrow(run, "query_id long, vec_id long, score long")
         out = part if out is None else out.union(part)
