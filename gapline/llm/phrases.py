@@ -170,9 +170,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = cuts.cut(dealt.mapInArrow(stream, "id long, key binary, akey long, ch long, start long, n long, hashes array<long>"))
     contexts = cuts.cut(hits.groupBy("akey", "ch").agg(F.min("id").alias("first")))
     several = contexts.groupBy("akey").agg(F.count("*").alias("n"), F.min("first").alias("x"), F.max("first").alias("y")).where("n > 1 and x < y").select("akey")
+    # Contexts are told which phrases have several of them; hits, of which one phrase may have very many, meet them by context.
+    contexts = contexts.join(several.withColumn("open", F.lit(True)), "akey", "left")
     owned = hits.join(contexts, ["akey", "ch"])
     whole = owned.where("first < id").select("id", "key", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
-    open_ = owned.where("first = id").join(several, "akey", "left_semi")
+    open_ = owned.where("first = id and open")
     single = cuts.cut(open_.select("akey", "id", "key", "start", F.posexplode("hashes").alias("o", "h")))
     earliest = single.groupBy("akey", "h").agg(F.min("id").alias("first"), F.max("id").alias("y")).where("first < y").drop("y")
     late = single.join(earliest, ["akey", "h"]).where("first < id").select("id", "key", (F.col("start") + F.col("o")).alias("start"), (F.col("start") + F.col("o") + window).alias("end"))

@@ -19,7 +19,7 @@ from gapline.llm.common import Cuts, bloom_filter, col, components, forest, in_f
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 SMALL = 64  #: pairs of nodes with at most so many pairs of fingerprints are compared directly
-GROUP_BYTES = 32 << 20  #: of shingle sets that one task holds to compare a candidate group's pairs
+GROUP_BYTES = 32 << 20  #: of shingle sets, and 640 for each, that one task holds to compare a candidate group's pairs
 CHUNK = 1 << 18  #: pairs of nodes expanded at a time
 
 
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     held = kept.where("id is not null").select("id", "text").mapInArrow(sets, "id long, s binary")
     held = cuts.cut(held.join(groups, held.id == groups.node).select("id", "s", "root").dropDuplicates(["id"]))
-    large = cuts.cut(held.groupBy("root").agg(F.sum(F.octet_length("s")).alias("size")).where(F.col("size") > GROUP_BYTES).select("root"))
+    large = cuts.cut(held.groupBy("root").agg(F.sum(F.octet_length("s") + 640).alias("size")).where(F.col("size") > GROUP_BYTES).select("root"))
     linked = pairs.join(groups, pairs.x == groups.node).select("root", "x", "y")
 
     def similar(p: bytes, q: bytes) -> bool:
