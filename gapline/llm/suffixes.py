@@ -4,6 +4,8 @@ Anchored contexts that may repeat are gathered by anchor into shards of bounded
 the contexts are put in order; previous and next smaller positions in that order give, for each position, the longest
 match with an earlier one (the longest previous factor), and the same from the other end the longest match with a
 later one. Contexts that occur more than once as a whole need no sorting: all but one of each stay out of the shards.
+An anchor whose different contexts outgrow a shard has its windows dealt out by 128-bit hashes instead, packed, so that
+no anchor, however common, gathers in one task.
 """
 
 from __future__ import annotations
@@ -16,14 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.anchors import context_keys, covered, runs
+from gapline.llm.anchors import Hashes, context_keys, covered, runs
 from gapline.llm.common import Cuts, col, mix, partitions, texts
 from gapline.llm.phrases import groups, hot_keys
 
 GRAM = 96  #: bytes of an anchor
 AT_ONCE = 1 << 19  #: bytes laid end to end at a time, or one document
 SHARD = 1 << 20  #: bytes of contexts sorted together, or those of one anchor
+SPREAD = 4 << 20  #: bytes of one anchor's contexts from which its windows are compared by hash, in parts of a quarter of that
 SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64))
+OTHER = mix(SYMBOLS)
+PIECES = "akey long, part int, c long, sha string, start long, n long, context binary, shas array<string>, cs array<long>, windows binary"
+
+
+PIECE_SCHEMA = pa.schema([("akey", pa.int64()), ("part", pa.int32()), ("c", pa.int64()), ("sha", pa.string()), ("start", pa.int64()), ("n", pa.int64()), ("context", pa.binary()), ("shas", pa.list_(pa.string())), ("cs", pa.list_(pa.int64())), ("windows", pa.binary())])
 
 
 def laid_out(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +141,7 @@ def repeated_starts(contexts: list[bytes], counts: list[int], window: int, earli
     return [np.flatnonzero(hit[x:y]) for x, y in bounds]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = GRAM, hot_least: int = 1000, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = GRAM, hot_least: int = 1000, spread: int = SPREAD, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row of docs.
 
     A byte of a text (UTF-8; null: empty) goes if a string of `window` bytes that covers it also starts anywhere else,
@@ -195,55 +203,102 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = cuts.cut(held.dropDuplicates(["sha"]) if not each.groupBy("sha", "id").count().where("count > 1").isEmpty() else held)
     hits = held.select("sha", F.inline(F.arrays_zip("akey", "ch", "start", "n")))
     by_context = cuts.cut(hits.groupBy("akey", "ch").agg(F.count("*").alias("c"), F.min(F.struct("sha", "start", "n")).alias("x")))
-    several = by_context.groupBy("akey").agg(F.count("*").alias("k")).where("k > 1").select("akey")
+    several = by_context.groupBy("akey").agg(F.count("*").alias("k"), F.sum(F.col("x.n") + window - 1).alias("bytes")).where("k > 1")
+    several = several.select("akey", F.when(F.col("bytes") > spread, F.ceil(F.col("bytes") * 4 / spread)).otherwise(0).cast("int").alias("parts"))
     whole = hits.join(by_context.where("c > 1").select("akey", "ch"), ["akey", "ch"], "left_semi").select("sha", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
-    open_ = by_context.join(several, "akey", "left_semi").select("x.sha", F.struct("akey", "c", "x.start", "x.n").alias("x")).groupBy("sha").agg(F.collect_list("x").alias("xs"))
+    open_ = by_context.join(several, "akey").select("x.sha", F.struct("akey", "parts", "c", "x.start", "x.n").alias("x")).groupBy("sha").agg(F.collect_list("x").alias("xs"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        common: dict[tuple, list] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (akey, parts), held in common.items():
+                data, begin, _ = laid_out([x[3] for x in held])
+                hs = [Hashes(d).every(window) for d in (data, OTHER[np.frombuffer(b"".join(x[3] for x in held), np.uint8)])]
+                at = np.concatenate([np.arange(x, x + h[2]) for x, h in zip(begin, held, strict=True)])
+                who = np.repeat(np.arange(len(held)), [h[2] for h in held])
+                start = np.concatenate([np.arange(h[1], h[1] + h[2]) for h in held])
+                table = np.stack([hs[0][at].view(np.int64), hs[1][at].view(np.int64), who, start], 1)
+                part = (hs[0][at] % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                for k in np.flatnonzero(np.diff(ends)):
+                    out.append({"akey": akey, "part": int(k) + 1, "shas": [h[0] for h in held], "cs": [h[4] for h in held], "windows": table[order[ends[k] : ends[k + 1]]].tobytes()})
+            common.clear()
+            if out:
+                yield pa.RecordBatch.from_pylist(out, PIECE_SCHEMA)
+            out.clear()
+
         for b in batches:
-            out: list[tuple] = []
-            held_bytes = 0
             for sha, t, xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for x in xs:
-                    out.append((x["akey"], x["c"], sha, x["start"], x["n"], t[x["start"] : x["start"] + x["n"] + window - 1]))
-                    held_bytes += len(out[-1][-1])
-                if held_bytes > 4 << 20:
-                    yield batch(out)
-                    out, held_bytes = [], 0
-            if out:
-                yield batch(out)
-
-    def batch(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], ["akey", "c", "sha", "start", "n", "context"])
-
-    pieces = held.select("sha", "text").join(open_, "sha").mapInArrow(cut_out, "akey long, c long, sha string, start long, n long, context binary")
-    dealt = pieces.repartition(partitions(spark), "akey").sortWithinPartitions("akey")
+                    context = t[x["start"] : x["start"] + x["n"] + window - 1]
+                    size += len(context)
+                    if x["parts"]:
+                        common.setdefault((x["akey"], x["parts"]), []).append((sha, x["start"], x["n"], context, x["c"]))
+                    else:
+                        out.append({"akey": x["akey"], "part": 0, "c": x["c"], "sha": sha, "start": x["start"], "n": x["n"], "context": context})
+                    if size > 4 << 20:
+                        yield from flush()
+                        size = 0
+        yield from flush()
+
+    pieces = held.select("sha", "text").join(open_, "sha").mapInArrow(cut_out, PIECES)
+    dealt = pieces.repartition(partitions(spark), "akey", "part").sortWithinPartitions("akey", "part")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        spread_rows: list[tuple] = []
         size, last = 0, None
 
-        def solve() -> Iterator[pa.RecordBatch]:
-            found = repeated_starts([x[5] for x in rows], [x[4] for x in rows], window)
-            out = [(x[2], x[3] + s) for x, starts in zip(rows, found, strict=True) if x[1] == 1 for s in [starts] if len(s)]
-            if out:
-                joined = []
-                for sha, s in out:
+        def told(found: list[tuple[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            joined = []
+            for sha, s in found:
+                if len(s):
                     first = np.flatnonzero(np.r_[True, np.diff(s) > 1])
                     end = np.r_[s[first[1:] - 1], s[-1]] + window
                     joined += [(sha, int(a), int(e)) for a, e in zip(s[first], end, strict=True)]
+            if joined:
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*joined, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["sha", "start", "end"])
 
+        def solve() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if rows:
+                found = repeated_starts([x[6] for x in rows], [x[5] for x in rows], window)
+                yield from told([(x[3], x[4] + s) for x, s in zip(rows, found, strict=True) if x[2] == 1])
+            if spread_rows:
+                names, cs, tables, base = [], [], [], 0
+                for x in spread_rows:
+                    t = np.frombuffer(x[9], np.int64).reshape(-1, 4).copy()
+                    t[:, 2] += base
+                    base += len(x[7])
+                    names += x[7]
+                    cs += x[8]
+                    tables.append(t)
+                t = np.concatenate(tables)
+                t = t[np.lexsort((t[:, 1], t[:, 0]))]
+                same = (t[1:, :2] == t[:-1, :2]).all(1)
+                t = t[np.r_[False, same] | np.r_[same, False]]
+                t = t[np.lexsort((t[:, 3], t[:, 2]))]
+                who, first = np.unique(t[:, 2], return_index=True)
+                yield from told([(names[w], s) for w, s in zip(who, np.split(t[:, 3], first[1:]), strict=True) if cs[w] == 1] if len(t) else [])
+            rows.clear()
+            spread_rows.clear()
+            size = 0
+
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[0] != last and size >= SHARD:
+                if row[:2] != last and (size >= SHARD or row[1] or spread_rows):
                     yield from solve()
-                    rows, size = [], 0
-                rows.append(row)
-                size, last = size + len(row[5]), row[0]
-        if rows:
-            yield from solve()
+                last = row[:2]
+                if row[1]:
+                    spread_rows.append(row)
+                else:
+                    rows.append(row)
+                    size += len(row[6])
+        yield from solve()
 
     matched = dealt.mapInArrow(match, "sha string, start long, end long")
     cutouts = whole.union(matched).groupBy("sha").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))

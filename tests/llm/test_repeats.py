@@ -62,8 +62,9 @@ def test_bytes_match_brute_force(spark, window, gram, hot):
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         left = bytes(c for c, g in zip(t, gone) if not g)
         want.append((d, len(t), int(gone.sum()), spans, hashlib.sha256(left).hexdigest()))
-    out = suffixes.remove_repeats(docs, window=window, gram=gram, hot_least=hot)
-    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    for spread in (1 << 22, 40):
+        out = suffixes.remove_repeats(docs, window=window, gram=gram, hot_least=hot, spread=spread)
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
 
 
 def test_awkward_rows_and_kept_text(spark):
