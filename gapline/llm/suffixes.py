@@ -25,9 +25,11 @@ from gapline.llm.phrases import groups, hot_keys
 GRAM = 96  #: bytes of an anchor
 AT_ONCE = 1 << 19  #: bytes laid end to end at a time, or one document
 SHARD = 1 << 20  #: bytes of contexts sorted together, or those of one anchor
+PACK = 7  #: symbols that the first sort compares at once
 SPREAD = 4 << 20  #: bytes of one anchor's contexts from which its windows are compared by hash, in parts of a quarter of that
 SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64))
 OTHER = mix(SYMBOLS)
+MARK = np.array([256])
 PIECES = "akey long, part int, c long, sha string, start long, n long, context binary, shas array<string>, cs array<long>, windows binary"
 
 
@@ -43,30 +45,31 @@ def laid_out(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Positions in order of their next `depth` symbols at least, and the ranks at doubling lengths that led there.
 
-    data: whole numbers, those above 255 being ends of strings (all different). Ranks of equal prefixes are equal.
+    data: whole numbers from 0 to 510. Ranks of equal prefixes are equal; the end comes before every symbol.
     """
     n = len(data)
-    rank = np.unique(data, return_inverse=True)[1].astype(np.int64)
-    levels, size = [(1, rank)], 1
-    while size < depth:
-        after = np.full(n, -1, np.int64)
-        after[: max(0, n - size)] = rank[size:]
-        pair = rank * (n + 1) + after + 1
-        order = np.argsort(pair, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.r_[0, pair[order][1:] != pair[order][:-1]])
-        rank, size = new, 2 * size
+    packed = np.zeros(n, np.int64)  # PACK symbols of 9 bits each
+    for k in range(PACK):
+        packed[: max(0, n - k)] |= (data[k:] + 1) << (9 * (PACK - 1 - k))
+    levels, size, pair = [(1, data.astype(np.int32))], PACK, packed
+    while True:
+        order = np.argsort(pair)
+        kept = pair[order]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(np.r_[0, kept[1:] != kept[:-1]])
         levels.append((size, rank))
-        if rank[order[-1]] == n - 1:
-            break
-    return np.argsort(rank, kind="stable"), levels
+        if size >= depth or not n or rank[order[-1]] == n - 1:
+            return order, levels
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - size)] = rank[size:] + 1
+        pair, size = rank * np.int64(n + 1) + after, 2 * size
 
 
 def common_prefixes(a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """The length of the common prefix of suffixes a and b, at most twice the last level's length less one."""
     n = len(levels[0][1])
     a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
-    for size, rank in reversed(levels):
+    for size, rank in [*levels[:0:-1], *[levels[0]] * (PACK - 1)]:
         inside = (a < n) & (b < n)
         same = np.zeros(len(a), bool)
         same[inside] = rank[a[inside]] == rank[b[inside]]
@@ -116,11 +119,12 @@ def longest_factors(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
 def repeated_starts(contexts: list[bytes], counts: list[int], window: int, earlier_only: bool = False) -> list[np.ndarray]:
     """Of each context the first counts[i] starts, those whose `window` bytes also start at another (an earlier) of these starts.
 
-    Only such starts may match: a context's tail is text of other windows, which have contexts of their own.
+    Only such starts may match: a context's tail is text of other windows, which have contexts of their own. A start's
+    window ends within its context, so one mark can end them all.
     """
     parts, own, at, bounds = [], [], 0, []
-    for i, (c, k) in enumerate(zip(contexts, counts, strict=True)):
-        parts += [np.frombuffer(c, np.uint8).astype(np.int64), np.array([256 + i])]
+    for c, k in zip(contexts, counts, strict=True):
+        parts += [np.frombuffer(c, np.uint8).astype(np.int64), MARK]
         bounds.append((at, at + k))
         own.append(np.arange(at, at + k))
         at += len(c) + 1
