@@ -116,6 +116,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_remov
 FROM w LEFT JOIN gone USING (doc_id)
 """
 
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+k AS (SELECT r, p, md5(substring(h, 2 * p + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, n - 399)) AS p FROM d WHERE n >= 400)),
+again AS (SELECT r, p FROM k JOIN (SELECT k FROM k GROUP BY k HAVING count(*) > 1) USING (k)),
+spans AS (SELECT r, i, min(p) AS a, max(p) + 400 AS b FROM (
+    SELECT r, p, sum(CASE WHEN p <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS i
+    FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM again)) GROUP BY r, i),
+pieces AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS from_ FROM spans),
+cut AS (SELECT r, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substring(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS head FROM pieces JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE head || substring(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
 OP8_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -125,4 +139,4 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_round_trip": OP3_SQL, "op4_benchmark_containment": OP4_SQL, "op5_repeated_phrases": OP5_SQL, "op8_norm_bucket_topk": OP8_SQL}
+    return {"op3_warc_round_trip": OP3_SQL, "op4_benchmark_containment": OP4_SQL, "op5_repeated_phrases": OP5_SQL, "op7_suffix_lpf": OP7_SQL, "op8_norm_bucket_topk": OP8_SQL}
