@@ -5,6 +5,7 @@ A collection is little-endian 32-bit words: 1, the universe's size, then for eac
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,61 +14,121 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-PIECE = 1 << 22  #: words read at a time
+PIECE = 1 << 20  #: keys read at a time
+WALK = 1 << 16  #: bytes read at a time while only lengths are wanted
+SPLIT = 64 << 20  #: bytes of a task
 
 
-def lists_of(stream, name: str) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(list ordinal, position of the first id, ids) in pieces; raises on a bad magic word or a file cut short."""
+def opened(path: str):
+    """(file system, path in it) of a URI or a local path."""
+    from pyarrow import fs
 
-    def read(n: int) -> np.ndarray:
-        data = stream.read(4 * n)
-        if len(data) != 4 * n:
-            raise ValueError(f"{name}: cut short")
-        return np.frombuffer(data, "<u4").astype(np.int64)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
-    magic, _universe = read(2)
-    if magic != 1:
-        raise ValueError(f"{name}: the first word is {magic}, not 1")
-    ordinal = 0
-    while head := stream.read(4):
-        n = int.from_bytes(head, "little")
-        yield ordinal, -1, np.array([n])
-        for at in range(0, n, PIECE):
-            yield ordinal, at, read(min(PIECE, n - at))
-        ordinal += 1
+
+def files_of(path: str) -> list[str]:
+    """A collection's files: path itself, or the .docs files of a folder in order of name."""
+    from pyarrow import fs
+
+    store, base = opened(path)
+    if store.get_file_info(base).type != fs.FileType.Directory:
+        return [path]
+    return [f"{path.rstrip('/')}/{n}" for n in sorted(x.base_name for x in store.get_file_info(fs.FileSelector(base))) if n.endswith(".docs")]
+
+
+def lengths(path: str) -> Iterator[tuple[int, int]]:
+    """The universe's size (with offset 0), then the offset of each list's first id and its length, by seeks past the ids; raises on a bad magic word or a file cut short."""
+    store, base = opened(path)
+    with store.open_input_file(base) as f:
+        size, held, start = f.size(), b"", 0
+
+        def word(at: int) -> int:
+            nonlocal held, start
+            if at + 4 > size:
+                raise ValueError(f"{path}: cut short")
+            if not start <= at <= start + len(held) - 4:
+                f.seek(at)
+                held, start = f.read(WALK), at
+            return int.from_bytes(held[at - start : at - start + 4], "little")
+
+        if word(0) != 1:
+            raise ValueError(f"{path}: the first word is {word(0)}, not 1")
+        yield 0, word(4)
+        at = 8
+        while at < size:
+            n = word(at)
+            if at + 4 + 4 * n > size:
+                raise ValueError(f"{path}: cut short")
+            yield at + 4, n
+            at += 4 + 4 * n
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """From position pos of list ordinal, whose left ids begin at offset, up to offset end."""
+
+    def __init__(self, path: str, offset: int, end: int, ordinal: int, pos: int, left: int):
+        self.path, self.offset, self.end, self.ordinal, self.pos, self.left = path, offset, end, ordinal, pos, left
+
+
+def parts_of(path: str, split: int) -> list[_Part]:
+    """Parts of about split bytes, cut within lists too; list ordinals go on from file to file."""
+    if split < 4:
+        raise ValueError("splitBytes: 4 or more")
+    out, ordinal = [], 0
+    for file in files_of(path):
+        walk = lengths(file)
+        next(walk)
+        open_ = None
+        for offset, n in walk:
+            if open_ is None:
+                open_ = _Part(file, offset, offset, ordinal, 0, n)
+            end = offset + 4 * n
+            while end - open_.offset > split:
+                cut = max(offset, min(end, open_.offset + split - (open_.offset + split - offset) % 4))
+                open_.end = cut
+                out.append(open_)
+                open_ = _Part(file, cut, cut, ordinal, (cut - offset) // 4, (end - cut) // 4)
+            open_.end = end
+            ordinal += 1
+        if open_ is not None:
+            out.append(open_)
+    return out
 
 
 class _DocsReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.split = options["path"], int(options.get("splitBytes", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        info = store.get_file_info(base)
-        if info.type == fs.FileType.Directory:
-            return [_Part(f"{self.path.rstrip('/')}/{x.base_name}") for x in store.get_file_info(fs.FileSelector(base)) if x.base_name.endswith(".docs")]
-        return [_Part(self.path)]
-
-    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        path = partition.path
-        store, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        with store.open_input_stream(base) as stream:
-            for ordinal, at, ids in lists_of(stream, path):
-                if at >= 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), ordinal)), pa.array(np.arange(at, at + len(ids))), pa.array(ids)], ["list_id", "pos", "doc_id"])
+        return parts_of(self.path, self.split)
+
+    def read(self, partition: _Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in where there are no parts
+            return
+        store, base = opened(partition.path)
+        at, ordinal, pos, left = partition.offset, partition.ordinal, partition.pos, partition.left
+        names = ["list_id", "pos", "doc_id"]
+        with store.open_input_file(base) as f:
+            f.seek(at)
+            held: list[tuple[np.ndarray, ...]] = []
+            rows = 0
+            while True:
+                take = min(left, PIECE, (partition.end - at) // 4)
+                if take:
+                    held.append((np.full(take, ordinal), np.arange(pos, pos + take), np.frombuffer(f.read(4 * take), "<u4").astype(np.int64)))
+                    at, pos, left, rows = at + 4 * take, pos + take, left - take, rows + take
+                if held and (rows >= PIECE or at >= partition.end):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+                    held, rows = [], 0
+                if at >= partition.end:
+                    return
+                if not left:
+                    left, ordinal, pos = int.from_bytes(f.read(4), "little"), ordinal + 1, 0
+                    at += 4
 
 
 class DocsSource(DataSource):
-    """spark.read.format("docs").load(path): (list_id, pos, doc_id), a task per file."""
+    """spark.read.format("docs").load(path): (list_id, pos, doc_id), a task for every splitBytes bytes; long lists are cut."""
 
     @classmethod
     def name(cls) -> str:
@@ -86,31 +147,55 @@ def read_docs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    """(universe_size, n_lists, n_postings) of a collection file, from its headers and lengths."""
+    """(universe_size, n_lists, n_postings) of a collection, from headers and lengths alone; of a folder, the largest universe and the sums."""
+    files = spark.createDataFrame([(f,) for f in files_of(path)], "path string").repartition("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                walk = lengths(name)
+                universe, n, total = next(walk)[1], 0, 0
+                for _, size in walk:
+                    n, total = n + 1, total + size
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (universe, n, total)], ["u", "n", "t"])
+
+    each = files.mapInArrow(run, "u bigint, n bigint, t bigint")
+    return each.agg(F.max("u").alias("universe_size"), F.sum("n").alias("n_lists"), F.sum("t").alias("n_postings"))
+
 
+def write_docs(keyed: DataFrame, path: str, universe: int, files: int = 1) -> None:
+    """A collection of keyed(list_id, pos, doc_id) with list ids 0 .. n - 1: one file, or a folder of at most so many files by ranges of lists.
+
+    Each file is one task's stream, written under a temporary name and then renamed, so a repeated attempt gives the same file.
+    """
+    if files > 1:
+        store, base = opened(path)
+        store.create_dir(base, recursive=True)
+    sizes = keyed.groupBy("list_id").agg(F.count("*").alias("n"))
+    rows = keyed.join(sizes, "list_id").select("list_id", "pos", "doc_id", "n")
+    rows = rows.repartitionByRange(files, "list_id") if files > 1 else rows.repartition(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(path)
+        temp, out, first = f"{base}{'/' if files > 1 else ''}_{uuid.uuid4().hex}", None, 0
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                universe = int.from_bytes(data[4:8], "little")
-                sizes = [int(x[2][0]) for x in lists_of(io.BytesIO(data), name) if x[1] < 0]
-                yield pa.RecordBatch.from_arrays([pa.array([universe]), pa.array([len(sizes)]), pa.array([sum(sizes)])], ["universe_size", "n_lists", "n_postings"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "universe_size bigint, n_lists bigint, n_postings bigint")
-
-
-def write_docs(keyed: DataFrame, path: str, universe: int) -> None:
-    """A collection file of keyed(list_id, pos, doc_id) with list ids 0 .. n - 1: one stream in list order, by nature of the format."""
-    ordered = keyed.orderBy("list_id", "pos").select("list_id", "doc_id")
-    sizes = keyed.groupBy("list_id").count().orderBy("list_id").toLocalIterator()
-    with open(path, "wb") as f:
-        f.write(np.array([1, universe], "<u4").tobytes())
-        rows = ordered.toLocalIterator(prefetchPartitions=True)
-        for r in sizes:
-            f.write(np.array([r["count"]], "<u4").tobytes())
-            f.write(np.array([next(rows).doc_id for _ in range(r["count"])], "<u4").tobytes())
+            if not b.num_rows:
+                continue
+            pos, doc, n = (b.column(k).to_numpy() for k in (1, 2, 3))
+            if out is None:
+                out, first = store.open_output_stream(temp), int(b.column(0)[0].as_py())
+                out.write(np.array([1, universe], "<u4").tobytes())
+            starts = np.flatnonzero(pos == 0)
+            out.write(np.insert(doc, starts, n[starts]).astype("<u4").tobytes())
+        if out is not None:
+            out.close()
+            store.move(temp, f"{base}/lists-{first:012d}.docs" if files > 1 else base)
+            yield pa.RecordBatch.from_arrays([pa.array([first])], ["first"])
+
+    if not rows.sortWithinPartitions("list_id", "pos").mapInArrow(run, "first bigint").collect():
+        store, base = opened(path)
+        with store.open_output_stream(f"{base}/lists-{0:012d}.docs" if files > 1 else base) as f:
+            f.write(np.array([1, universe], "<u4").tobytes())
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

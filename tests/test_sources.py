@@ -15,6 +15,28 @@ def test_collection_round_trip(spark, tmp_path):
     assert tuple(c.read_meta(spark, f"{tmp_path}/x.docs").first()) == (50, 3, 7)
 
 
+def test_collection_in_parts(spark, tmp_path):
+    lists = [list(range(i, 7 * (i % 5) * 40 + i + 1, 7)) for i in range(23)]
+    k = keyed(spark, lists)
+    want = sorted(map(tuple, k.collect()))
+    c.write_docs(k, f"{tmp_path}/one.docs", 9999)
+    c.write_docs(k, f"file://{tmp_path}/many", 9999, files=4)
+    assert len(c.files_of(f"{tmp_path}/many")) > 1
+    for path in (f"{tmp_path}/one.docs", f"file://{tmp_path}/many"):
+        assert tuple(c.read_meta(spark, path).first()) == (9999, 23, len(want))
+        for split in (4, 10, 100, 1000, 1 << 20):
+            assert split > 1000 or len(c.parts_of(path, split)) > 1
+            got = spark.read.format("docs").option("splitBytes", split).load(path) if split >= 100 else None
+            if got is not None:
+                assert sorted(map(tuple, got.collect())) == want
+            else:
+                reader = c._DocsReader({"path": path, "splitBytes": split})
+                assert sorted(t for p in reader.partitions() for b in reader.read(p) for t in zip(*(x.to_pylist() for x in b.columns), strict=True)) == want
+    c.write_docs(k.limit(0), f"{tmp_path}/none.docs", 5)
+    assert c.read_docs(spark, f"{tmp_path}/none.docs").count() == 0
+    assert c.read_meta(spark, f"{tmp_path}/none.docs").first().universe_size == 5
+
+
 @pytest.mark.parametrize("words", [[2, 50, 1, 3], [1, 50, 4, 1, 2], [1]])
 def test_broken_collections_are_refused(spark, tmp_path, words):
     np.array(words, "<u4").tofile(tmp_path / "bad.docs")
