@@ -54,3 +54,14 @@ def index_stats(sizes: DataFrame) -> DataFrame:
     """The whole index in one row; the ratio is to 4 bytes a key."""
     one = list_sizes(sizes).agg(F.count("*").alias("n_lists"), *[F.sum(c).cast("bigint").alias(c) for c in ("n", "n_segments", "segment_bytes", "correction_bytes", "sign_bytes", "total_bytes")])
     return one.withColumns({"avg_covered": F.col("n") / F.col("n_segments"), "avg_segments": F.col("n_segments") / F.col("n_lists"), "compression_ratio": F.col("total_bytes") / (F.col("n") * 4), "gib": F.col("total_bytes") / F.lit(float(1 << 30)), "bytes_per_int": F.col("total_bytes") / F.col("n")})
+
+
+def sample_residuals(segments: DataFrame, lists: int = 8, seed: int = 0) -> DataFrame:
+    """(list_id, block_id, first, pos, residual, delta, code) of some lists, the first in a seeded order of hashes."""
+    some = segments.select("list_id").distinct().orderBy(F.xxhash64(F.lit(seed), "list_id"), "list_id").limit(lists)
+    return delta_codes(segments.join(F.broadcast(some), "list_id", "left_semi")).select("list_id", "block_id", "first", "pos", "residual", "delta", "code")
+
+
+def plain_sizes(sizes: DataFrame) -> DataFrame:
+    """index_sizes with plain_bytes: 20 bytes a segment, unpacked, and 1 a block, beside corrections and signs."""
+    return sizes.withColumn("plain_bytes", F.expr("n_segments * 20 + 1 + correction_bytes + sign_bytes"))

@@ -119,3 +119,11 @@ def skipped(keyed: DataFrame, probes: DataFrame, block: int = 128) -> DataFrame:
     """(list_id, x, n_skipped): keys in whole blocks before the one that next_geq looks into."""
     found = next_geq(keyed, probes).join(keyed, ["list_id", "doc_id"])
     return found.select("list_id", "x", F.expr(f"(pos div {block}) * {block}").alias("n_skipped"))
+
+
+def skip_rate(keyed: DataFrame, probes: DataFrame, block: int = 128) -> DataFrame:
+    """One row: keys in the probed lists, those that probes skip (see skipped), and their share."""
+    skips = skipped(keyed, probes, block).groupBy("list_id").agg(F.sum("n_skipped").alias("n_skipped"), F.count("*").alias("n_probes"))
+    sizes = keyed.groupBy("list_id").agg(F.count("*").alias("n"))
+    one = skips.join(sizes, "list_id").agg(F.sum(F.col("n") * F.col("n_probes")).cast("bigint").alias("n"), F.sum("n_skipped").cast("bigint").alias("n_skipped"))
+    return one.withColumn("rate", F.col("n_skipped") / F.col("n"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import struct
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,21 +12,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapline.operators.fit import CHUNK
+
 BUCKETS = 64
 
 
-def save(segments: DataFrame, folder: str, buckets: int = BUCKETS, extra: dict[str, DataFrame] | None = None) -> None:
-    """segments by buckets of lists, so that a query reads the buckets of its lists only; extra tables beside them."""
+def save(table: DataFrame, folder: str, buckets: int = BUCKETS, extra: dict[str, DataFrame] | None = None, name: str = "segments", order: str = "first") -> None:
+    """table(list_id, ...) by buckets of lists, so that a query reads the buckets of its lists only; extra tables beside it."""
     bucket = F.pmod(F.xxhash64("list_id"), F.lit(buckets)).cast("int")
-    segments.withColumn("list_bucket", bucket).repartition("list_bucket", F.expr("list_id div 16")).sortWithinPartitions("list_id", "first").write.partitionBy("list_bucket").mode("overwrite").parquet(f"{folder}/segments")
-    segments.sparkSession.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{folder}/meta")
-    for name, df in (extra or {}).items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    table.withColumn("list_bucket", bucket).repartition("list_bucket", F.expr("list_id div 16")).sortWithinPartitions("list_bucket", "list_id", order).write.partitionBy("list_bucket").mode("overwrite").parquet(f"{folder}/{name}")
+    table.sparkSession.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{folder}/meta")
+    for other, df in (extra or {}).items():
+        df.write.mode("overwrite").parquet(f"{folder}/{other}")
 
 
-def load(spark: SparkSession, folder: str, lists: DataFrame | None = None) -> DataFrame:
-    """All segments, or those of lists(list_id): buckets are pruned while the plan runs."""
-    all_ = spark.read.parquet(f"{folder}/segments")
+def load(spark: SparkSession, folder: str, lists: DataFrame | None = None, name: str = "segments") -> DataFrame:
+    """The whole table, or the rows of lists(list_id): buckets are pruned while the plan runs."""
+    all_ = spark.read.parquet(f"{folder}/{name}")
     if lists is None:
         return all_.drop("list_bucket")
     buckets = spark.read.parquet(f"{folder}/meta").first().buckets
@@ -32,6 +36,15 @@ def load(spark: SparkSession, folder: str, lists: DataFrame | None = None) -> Da
     return all_.join(wanted, ["list_bucket", "list_id"]).drop("list_bucket")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the session names; one is set only where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="gapline-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/gapline/{name}-{uuid.uuid4().hex}"
+
+
 def missing(segments: DataFrame, lists: DataFrame) -> DataFrame:
     """(list_id) asked for but not in the index."""
     return lists.select("list_id").distinct().join(segments.select("list_id").distinct(), "list_id", "left_anti")
@@ -94,13 +107,34 @@ def parse(data: bytes) -> tuple[int, list[dict]]:
 
 
 def export(segments: DataFrame) -> DataFrame:
-    """(list_id, block_id, record): a packed record per block."""
+    """(list_id, block_id, part, start, record): a packed record for each part of a block.
+
+    A part is what was fitted as one unit, at most CHUNK keys from position start on, so no record grows with its list.
+    """
     own = F.struct("first", *FIELDS, "residuals")
-    grouped = segments.groupBy("list_id", "block_id", "epsilon").agg(F.array_sort(F.collect_list(own)).alias("s"))
+    begin = segments.groupBy("list_id", "block_id").agg(F.min("first").alias("begin"))
+    unit = segments.join(begin, ["list_id", "block_id"]).withColumn("part", F.expr(f"(first - begin) div {CHUNK}"))
+    grouped = unit.groupBy("list_id", "block_id", "part", "epsilon").agg(F.min("first").alias("start"), F.array_sort(F.collect_list(own)).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [record(e, s) for e, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["list_id", "block_id", "record"])
+            made = [record(e, s) for e, s in zip(b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(made, pa.binary())], ["list_id", "block_id", "part", "start", "record"])
+
+    return grouped.mapInArrow(run, "list_id bigint, block_id bigint, part bigint, start bigint, record binary")
 
-    return grouped.mapInArrow(run, "list_id bigint, block_id bigint, record binary")
+
+def restore(records: DataFrame) -> DataFrame:
+    """Segments of export's records, less first_value and last_value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, start, data in zip(*(b.column(c).to_pylist() for c in (0, 1, 2, 3)), strict=True):
+                epsilon, own = parse(data)
+                n = len(own)
+                cols = [pa.array([x] * n, pa.int64()) for x in (i, j, epsilon)] + [pa.array([start + s["first"] for s in own], pa.int64())]
+                cols += [pa.array([s[f] for s in own], pa.int64()) for f in FIELDS] + [pa.array([s["residuals"] for s in own], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["list_id", "block_id", "epsilon", "first", *FIELDS, "residuals"])
+
+    schema = ", ".join(f"{c} bigint" for c in ("list_id", "block_id", "epsilon", "first", *FIELDS))
+    return records.select("list_id", "block_id", "start", "record").mapInArrow(run, f"{schema}, residuals array<bigint>")

@@ -113,6 +113,9 @@ def test_store_and_packed_records(spark, tmp_path):
     part = store.load(spark, f"file://{tmp_path}/i", some)
     assert sorted(map(tuple, codec.decode(part).collect())) == [x for x in want if x[0] in (0, 6)]
     assert [r.list_id for r in store.missing(part, some).collect()] == [77]
+    for how in ({"epsilon": 15}, {}):
+        t = build(k, **how)
+        assert sorted(map(tuple, codec.decode(store.restore(store.export(t))).collect())) == want
     for r in store.export(s).collect():
         epsilon, segs = store.parse(bytes(r.record))
         own = [x.asDict() for x in s.where((F.col("list_id") == r.list_id) & (F.col("block_id") == r.block_id)).orderBy("first").collect()]
