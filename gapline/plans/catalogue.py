@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gapline.functions.columns import fill_ones, unzigzag, zigzag
 from gapline.operators import codec, gaps, partition, search, stats, validate
 from gapline.plans.index import build
-from gapline.sources import views
+from gapline.sources import collections, store, views
+from gapline.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,6 +114,71 @@ def _gap_blocks(s: SparkSession, d: str) -> DataFrame:
     return gaps.encode(keyed("supp")(s, d)).select("list_id", "block_no", F.col("n").cast("bigint").alias("n"), "block_max", F.array_join(F.transform("gaps", lambda x: x.cast("string")), ",").alias("gaps"))
 
 
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Some lists of a stored index, decoded."""
+    folder = store.scratch(s, "index")
+    store.save(build(keyed("supp")(s, d), 31), folder)
+    some = s.range(0, 1000, 7).select(F.col("id").alias("list_id"))
+    return codec.decode(store.load(s, folder, some))
+
+
+def _records(s: SparkSession, d: str) -> DataFrame:
+    """Postings that went through packed records and back."""
+    folder = store.scratch(s, "records")
+    store.export(_index("qty")(s, d)).write.parquet(folder)
+    return codec.decode(store.restore(s.read.parquet(folder)))
+
+
+def _collection(s: SparkSession, d: str) -> str:
+    """Collection files of the view line, whose lists are numbered from 0."""
+    folder = store.scratch(s, "collection")
+    universe = views.line(s, d).agg(F.max("doc_id") + 1).first()[0]
+    collections.write_docs(keyed("line")(s, d).withColumn("list_id", F.col("list_id") - 1), folder, universe, files=4)
+    return folder
+
+
+def _query_file(s: SparkSession, d: str) -> DataFrame:
+    """Queries that went through a text file and back; terms as text."""
+    folder = store.scratch(s, "queries")
+    collections.write_queries(search.clean_terms(views.qty_queries(s, 4)).repartition(1), folder)
+    return collections.read_queries(s, f"{folder}/part-*.txt").select("query_id", F.array_join(F.transform("terms", lambda x: x.cast("string")), " ").alias("terms"))
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """Positions of postings that came as a stream of files."""
+    folder = store.scratch(s, "stream")
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    stream = s.readStream.schema(schema).parquet(f"{d}/events.parquet*").select(F.col("user_id").cast("bigint").alias("list_id"), F.col("event_id").alias("doc_id"))
+    incremental.ingest(stream, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return stats.positions(incremental.postings(s, f"{folder}/table"))
+
+
+def _broken(s: SparkSession, d: str) -> DataFrame:
+    """Rules that a damaged copy of the view qty breaks: every 500th position repeats the id before it, and the universe ends early."""
+    k = keyed("qty")(s, d)
+    top = k.agg(F.max("doc_id").alias("m")).select((F.col("m") - 10).alias("universe_size"))
+    before = k.select("list_id", (F.col("pos") + 1).alias("pos"), F.col("doc_id").alias("b"))
+    bad = k.join(before, ["list_id", "pos"], "left").select("list_id", "pos", F.when(F.col("pos") % 500 == 499, F.col("b")).otherwise(F.col("doc_id")).alias("doc_id"))
+    return validate.violations(bad, top)
+
+
+BROKEN_SQL = f"""WITH k AS ({keyed_sql('qty')}),
+b AS (SELECT list_id, pos, CASE WHEN pos % 500 = 499 THEN lag(doc_id) OVER w ELSE doc_id END AS doc_id FROM k WINDOW w AS (PARTITION BY list_id ORDER BY pos)),
+v AS (SELECT *, lag(doc_id) OVER (PARTITION BY list_id ORDER BY pos) AS before FROM b)
+SELECT list_id, pos, 'order' AS rule FROM v WHERE before >= doc_id
+UNION ALL SELECT list_id, pos, 'range' FROM v WHERE doc_id >= (SELECT max(doc_id) - 10 FROM k)"""
+
+
+def _probe_over(encoded: str) -> Query:
+    """Next-greater-or-equal over keys decoded from an index, or from the baseline's blocks."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        k = keyed("supp")(s, d)
+        return search.next_geq(codec.decode(build(k, 63)) if encoded == "index" else gaps.decode(gaps.encode(k)), _probes(s, d))
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     for v in views.VIEWS:
@@ -166,6 +232,16 @@ def queries() -> dict[str, Query]:
     q["all_ones"] = lambda s, d: views.supp(s, d).select("doc_id").distinct().withColumn("ones", fill_ones(F.col("doc_id")))
     q["and_over_index"], q["or_over_index"] = _over_index("and"), _over_index("or")
     q["and_over_gap128"], q["or_over_gap128"] = _baseline("and"), _baseline("or")
+    q["index_stored_lists"], q["records_roundtrip"] = _stored, _records
+    q["docs_roundtrip"] = lambda s, d: collections.read_docs(s, _collection(s, d))
+    q["docs_meta"] = lambda s, d: collections.read_meta(s, _collection(s, d))
+    q["queries_roundtrip"] = _query_file
+    q["stream_postings"] = _streamed
+    q["violations"] = _broken
+    q["nextgeq_over_index"], q["nextgeq_over_gap128"] = _probe_over("index"), _probe_over("gap128")
+    q["skip_rate"] = lambda s, d: search.skip_rate(keyed("supp")(s, d), _probes(s, d)).withColumn("rate", F.round("rate", 6))
+    q["residual_sample"] = lambda s, d: codec.sample_residuals(_index("supp", epsilon=31)(s, d))
+    q["plain_size"] = lambda s, d: codec.plain_sizes(codec.index_sizes(_index("qty", epsilon=15)(s, d))).select("list_id", "block_id", "n", "n_segments", "plain_bytes")
     return q
 
 
@@ -213,4 +289,14 @@ FROM (SELECT sum(n)::BIGINT AS n, sum((n * width + 31) // 32 * 4 + 8)::BIGINT AS
     o["query_validate"] = "SELECT q AS query_id, 7::BIGINT AS k FROM range(7) r(q)"
     o["all_ones"] = f"SELECT DISTINCT doc_id, CASE WHEN doc_id = 0 THEN 0 ELSE (1 << length(bin(doc_id))) - 1 END::BIGINT AS ones FROM ({views.SQL['supp']})"
     o["and_over_index"], o["or_over_index"] = o["and_2"], o["or_2"]
+    o["index_stored_lists"] = f"SELECT * FROM ({keyed_sql('supp')}) WHERE list_id % 7 = 0 AND list_id < 1000"
+    o["records_roundtrip"] = keyed_sql("qty")
+    o["docs_roundtrip"] = f"SELECT list_id - 1 AS list_id, pos, doc_id FROM ({keyed_sql('line')})"
+    o["docs_meta"] = f"SELECT max(doc_id) + 1 AS universe_size, count(DISTINCT list_id) AS n_lists, count(*) AS n_postings FROM ({line})"
+    o["queries_roundtrip"] = "SELECT query_id, string_agg(list_id::VARCHAR, ' ' ORDER BY list_id) AS terms FROM (" + views.queries_sql("qty", 4) + ") GROUP BY query_id"
+    o["stream_postings"] = keyed_sql("event_user")
+    o["violations"] = BROKEN_SQL
+    o["nextgeq_over_index"] = o["nextgeq_over_gap128"] = o["nextgeq_probe"]
+    o["skip_rate"] = f"""SELECT sum(n)::BIGINT AS n, sum(n_skipped)::BIGINT AS n_skipped, round(sum(n_skipped) / sum(n), 6) AS rate
+FROM ({o['nextgeq_skipped']}) JOIN (SELECT list_id, count(*) AS n FROM ({views.SQL['supp']}) GROUP BY list_id) USING (list_id)"""
     return o
