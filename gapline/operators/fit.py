@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapline.operators.stats import PAGE, with_page
+
 CHUNK = 1 << 20  #: keys that one unit of work fits; segments don't cross it
 TOP = (1 << 31) - 1
 SEGMENTS = "list_id long, block_id long, epsilon long, first long, covered long, delta_y long, delta_x long, y_b long, x_b long, first_value long, last_value long, residuals array<long>"
@@ -91,12 +93,14 @@ def fit(keyed: DataFrame, block_table: DataFrame, partitions: int | None = None)
     """Segments with their residuals of keyed(list_id, pos, doc_id) cut by block_table.
 
     A unit is a chunk of CHUNK positions of a block; units are dealt by hash and fitted in one stream per task, so many
-    small lists share a Python call and a long list is spread over tasks.
+    small lists share a Python call and a long list is spread over tasks. Keys meet their block by page, not by list:
+    a list of many blocks isn't compared with all of them, and a hot list is many join keys.
     """
     spark = keyed.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     single = block_table.select("list_id", "block_id", "start_idx", "end_idx", "epsilon")
-    rows = keyed.join(single, "list_id").where("pos >= start_idx and pos < end_idx").select("list_id", "block_id", "epsilon", "pos", "doc_id", F.expr(f"(pos - start_idx) div {CHUNK}").alias("chunk"))
+    paged = single.withColumn("page", F.explode(F.expr(f"sequence(start_idx div {PAGE}, (end_idx - 1) div {PAGE})")))
+    rows = with_page(keyed).join(paged, ["list_id", "page"]).where("pos >= start_idx and pos < end_idx").select("list_id", "block_id", "epsilon", "pos", "doc_id", F.expr(f"(pos - start_idx) div {CHUNK}").alias("chunk"))
     dealt = rows.repartition(n, "list_id", "block_id", "chunk").sortWithinPartitions("list_id", "block_id", "chunk", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gapline.functions.columns import BASE_BITS, SCALE, C
 from gapline.operators.stats import PAGE
 
-SPAN = 1 << 16  #: pages that are partitioned together; a longer list is partitioned span by span
+SPAN = {"greedy": 1 << 16, "optimal": 1 << 10}  #: pages that are partitioned together; a longer list is partitioned span by span
 BLOCKS = "list_id long, block_id long, start_idx long, end_idx long, epsilon long, cost double"
 
 
@@ -103,16 +103,16 @@ def merge(r: Ranges, ranges: list[tuple[int, int]]) -> list[tuple[int, int, int,
 
 def blocks(page_table: DataFrame, m: int = 2048, variant: str = "none", method: str = "greedy", c: float = C) -> DataFrame:
     """(list_id, block_id, start_idx, end_idx, epsilon, cost): blocks tile each list; end_idx is exclusive."""
-    scale, split = SCALE[variant], {"greedy": greedy, "optimal": optimal}[method]
+    scale, split, span = SCALE[variant], {"greedy": greedy, "optimal": optimal}[method], SPAN[method]
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("page", ignore_index=True)
         r = Ranges(p, scale, c)
         start = int(p["page"][0])
-        rows = [(int(p["list_id"][0]), (start // SPAN << 32) + i, start * PAGE + int(r.n[a]), start * PAGE + int(r.n[b]), e, cost) for i, (a, b, e, cost) in enumerate(merge(r, split(r, m)))]
+        rows = [(int(p["list_id"][0]), (start // span << 32) + i, start * PAGE + int(r.n[a]), start * PAGE + int(r.n[b]), e, cost) for i, (a, b, e, cost) in enumerate(merge(r, split(r, m)))]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in BLOCKS.split(", ")])
 
-    return page_table.groupBy("list_id", F.expr(f"page div {SPAN}").alias("span")).applyInPandas(lambda _, p: run(p), BLOCKS)
+    return page_table.groupBy("list_id", F.expr(f"page div {span}").alias("span")).applyInPandas(lambda _, p: run(p), BLOCKS)
 
 
 def single_blocks(page_table: DataFrame, epsilon: int) -> DataFrame:

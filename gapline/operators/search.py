@@ -102,8 +102,9 @@ def next_geq(keyed: DataFrame, probes: DataFrame) -> DataFrame:
     p = probes.select("list_id", "x").distinct()
     skip = pages(keyed).select("list_id", "page", "last_id")
     both = skip.select("list_id", F.col("last_id").alias("at"), "page", F.lit(1).alias("kind")).union(p.select("list_id", F.col("x"), F.lit(None).cast("bigint"), F.lit(0)))
-    ahead = Window.partitionBy("list_id").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
-    placed = both.withColumn("page", F.first("page", ignorenulls=True).over(ahead)).where("kind = 0").select("list_id", F.col("at").alias("x"), "page")
+    # from the list's end: a growing frame costs a step a row, one that shrinks would be scanned anew for every row
+    ahead = Window.partitionBy("list_id").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("page", F.last("page", ignorenulls=True).over(ahead)).where("kind = 0").select("list_id", F.col("at").alias("x"), "page")
     found = placed.join(with_page(keyed), ["list_id", "page"]).where("doc_id >= x").groupBy("list_id", "x").agg(F.min("doc_id").alias("doc_id"))
     return p.join(found, ["list_id", "x"], "left").select("list_id", "x", "doc_id")
 
