@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapline.operators.stats import pages, with_page
+from gapline.operators.stats import RANGE_BITS, pages, with_page
 
 BITMAP_BITS = 32768
 
@@ -98,13 +98,18 @@ def next_geq(keyed: DataFrame, probes: DataFrame) -> DataFrame:
     """(list_id, x, doc_id): the list's smallest id >= x, null if none, for distinct probes(list_id, x).
 
     The pages' last ids are the skip table: a probe finds its page there, and then its id among that page's.
+    Pages and probes meet by ranges of 2 ** RANGE_BITS ids; what a range lacks comes from the next range that has a page.
     """
     p = probes.select("list_id", "x").distinct()
     skip = pages(keyed).select("list_id", "page", "last_id")
     both = skip.select("list_id", F.col("last_id").alias("at"), "page", F.lit(1).alias("kind")).union(p.select("list_id", F.col("x"), F.lit(None).cast("bigint"), F.lit(0)))
-    # from the list's end: a growing frame costs a step a row, one that shrinks would be scanned anew for every row
-    ahead = Window.partitionBy("list_id").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("page", F.last("page", ignorenulls=True).over(ahead)).where("kind = 0").select("list_id", F.col("at").alias("x"), "page")
+    both = both.withColumn("r", F.expr(f"shiftright(at, {RANGE_BITS})"))
+    # from the end: a growing frame costs a step a row, one that shrinks would be scanned anew for every row
+    ahead = Window.partitionBy("list_id", "r").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("list_id").orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = both.groupBy("list_id", "r").agg(F.min("page").alias("head")).select("list_id", "r", F.last("head", ignorenulls=True).over(later).alias("beyond"))
+    placed = both.withColumn("page", F.last("page", ignorenulls=True).over(ahead)).where("kind = 0").join(heads, ["list_id", "r"])
+    placed = placed.select("list_id", F.col("at").alias("x"), F.coalesce("page", "beyond").alias("page"))
     found = placed.join(with_page(keyed), ["list_id", "page"]).where("doc_id >= x").groupBy("list_id", "x").agg(F.min("doc_id").alias("doc_id"))
     return p.join(found, ["list_id", "x"], "left").select("list_id", "x", "doc_id")
 

@@ -120,3 +120,12 @@ def test_store_and_packed_records(spark, tmp_path):
         epsilon, segs = store.parse(bytes(r.record))
         own = [x.asDict() for x in s.where((F.col("list_id") == r.list_id) & (F.col("block_id") == r.block_id)).orderBy("first").collect()]
         assert epsilon == 15 and segs == [{f: x[f] for f in (*store.FIELDS, "first", "residuals")} for x in own]
+
+
+def test_next_geq_over_far_ranges(spark):
+    lists = [[5, 6, (5 << 20) + 1, (5 << 20) + 9, (9 << 20)], list(range(0, 3 << 20, 997)), [(1 << 31) - 2]]
+    k = keyed(spark, lists)
+    xs = [-3, 0, 5, 6, 7, 1 << 20, (5 << 20), (5 << 20) + 2, (5 << 20) + 10, 9 << 20, (9 << 20) + 1, 1 << 31]
+    probes = spark.createDataFrame([(i, x) for i in range(4) for x in xs], "list_id long, x long")
+    want = [(i, x, min((d for d in (lists[i] if i < 3 else []) if d >= x), default=None)) for i in range(4) for x in xs]
+    assert sorted(map(tuple, search.next_geq(k, probes).collect()), key=repr) == sorted(want, key=repr)
