@@ -41,7 +41,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("near_duplicates", near_duplicates), ("leaks", leaks), ("mix", mix), ("shards", shards)]
 
-#: A trained classifier and seeded SimHash tables have no SQL; tests hold the stages against brute force.
+#: A trained classifier and seeded MinHash bands have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

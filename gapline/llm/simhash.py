@@ -101,11 +101,11 @@ def rotations(fp: Column, budget: int) -> tuple[Column, int]:
     return F.array(*turned), width
 
 
-def hamming_links(fps: DataFrame, budget: int = 3, exact: bool = False) -> DataFrame:
+def hamming_links(fps: DataFrame, budget: int = 3) -> DataFrame:
     """Links (a, b, table) between distinct fingerprints fps(fp[, table]) that differ in at most budget bits.
 
-    Each task returns a spanning forest of the links that it finds (exact: of closest pairs), so a dense group
-    gives no more rows than it has fingerprints, and no component is lost.
+    Each task returns a spanning forest of the links that it finds, so a dense group gives no more rows than it has
+    fingerprints, and no component is lost.
     """
     if not 0 <= budget < 16:
         raise ValueError("budget: 0 to 15 bits")
@@ -125,30 +125,13 @@ def hamming_links(fps: DataFrame, budget: int = 3, exact: bool = False) -> DataF
                 fp = np.unique(f[(t == table) & (r == turn)])
                 if len(fp) < 2:
                     continue
-                if exact:
-                    up = list(range(len(fp)))
-                    ends: list[tuple[int, int]] = []
-
-                    def find(x: int, up: list[int] = up) -> int:
-                        while up[x] != x:
-                            up[x] = up[up[x]]
-                            x = up[x]
-                        return x
-
-                    for i, j, dist in node_pairs(fp, width, budget):
-                        for k in np.argsort(dist, kind="stable"):
-                            if (x := find(int(i[k]))) != (y := find(int(j[k]))):
-                                up[max(x, y)] = min(x, y)
-                                ends.append((int(i[k]), int(j[k])))
-                    a, b = (np.array([e[k] for e in ends], np.int64) for k in (0, 1))
-                else:
-                    label = np.arange(len(fp))
-                    for i, j, _ in node_pairs(fp, width, budget):
-                        if len(i):
-                            kept = np.flatnonzero(label != np.arange(len(fp)))
-                            label = forest(len(fp), np.r_[i, kept], np.r_[j, label[kept]])
-                    a = np.flatnonzero(label != np.arange(len(fp)))
-                    b = label[a]
+                label = np.arange(len(fp))
+                for i, j, _ in node_pairs(fp, width, budget):
+                    if len(i):
+                        kept = np.flatnonzero(label != np.arange(len(fp)))
+                        label = forest(len(fp), np.r_[i, kept], np.r_[j, label[kept]])
+                a = np.flatnonzero(label != np.arange(len(fp)))
+                b = label[a]
                 s = np.uint64(int(turn) * width)
                 back = (lambda x, s=s: (x >> s) | (x << (np.uint64(64) - s))) if turn else (lambda x: x)
                 yield pa.RecordBatch.from_arrays([pa.array(back(fp[a]).view(np.int64)), pa.array(back(fp[b]).view(np.int64)), pa.array(np.full(len(a), table, np.int32))], ["a", "b", "table"])
@@ -174,23 +157,33 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies of whole documents: SimHash finds candidates, exact shingle similarity decides.
+# Near copies of whole documents: bands of MinHash values find candidates, exact shingle similarity decides.
 
 
-def word_fingerprints(w: list[bytes], tables: int) -> list[int]:
-    """One 64-bit SimHash of the distinct words for each table; an edit of one word changes one feature of each."""
-    digest = xxhash.xxh64_digest
-    h = np.frombuffer(b"".join([digest(x, 42) for x in set(w)]), ">u8").astype(np.uint64)
-    return [signed(majority(mix(h + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).astype(">u8").view(np.uint8))) for t in range(tables)]
+def band_keys(grams: list[bytes], bands: int, rows: int) -> list[int]:
+    """A key for each band of rows MinHash values over a set of shingles; none without shingles."""
+    if not grams:
+        return []
+    h = np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in grams], np.uint64))
+    seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    flip, times = seeds[: bands * rows], seeds[bands * rows :] | np.uint64(1)
+    least = np.full(bands * rows, np.uint64((1 << 64) - 1))
+    for k in range(0, len(h), 512):
+        least = np.minimum(least, ((h[k : k + 512, None] ^ flip) * times).min(0))
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        key = mix(key + column)
+    return key.view(np.int64).tolist()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, tables: int = 16, budget: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 5) -> DataFrame:
     """(doc_id, component_id, n_rows): groups linked by a Jaccard similarity of k-word shingle sets of at least similarity.
 
-    Documents with equal lower-cased word sequences form one class first. Candidates come from the trie self-join of
-    tables SimHash fingerprints over each class's distinct words (with the defaults a pair at the threshold is found
-    with a probability over 0.99, closer pairs nearly surely); each candidate is then verified on its exact shingle
-    sets, so no pair below the threshold is ever linked. n_rows counts the rows of the doc_id. Texts without words
+    Documents with equal lower-cased word sequences form one class first. Candidates are classes that share a band of
+    rows MinHash values of their shingle sets: whatever the edit, scattered words or a whole block, a pair of
+    similarity s is missed with a probability of about (1 - s**rows)**bands, with the defaults 1.2e-7 at 0.8 and less
+    above. Candidates are verified on exact shingle sets, so no pair below the threshold is ever linked. n_rows counts
+    the rows of the doc_id. Texts without words
     form one class. Rows with a null id stand alone (component_id null).
     """
     spark = docs.sparkSession
@@ -200,25 +193,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         import hashlib
 
         for b in batches:
-            keys, fps = [], []
+            keys, found = [], []
             for t in texts(b.column(1)):
                 w = words(t)
                 keys.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest())
-                fps.append(word_fingerprints(w, tables))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["id", "cls", "fps"])
+                found.append(band_keys(shingles(w, k), bands, rows))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "cls", "bands"])
 
     kept = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    each = cuts.cut(kept.mapInArrow(run, "id long, cls binary, fps array<long>"))
+    each = cuts.cut(kept.mapInArrow(run, "id long, cls binary, bands array<long>"))
     each = each.where("id is not null")
-    low = cuts.cut(each.groupBy("cls").agg(F.min("id").alias("rep"), F.first("fps").alias("fps")))
-    by_fp = cuts.cut(low.select("rep", F.posexplode("fps").alias("table", "fp")).groupBy("table", "fp").agg(F.min("rep").alias("rep")))
-    links = hamming_links(by_fp.select("table", "fp"), budget, exact=True)
-    side = lambda n, to: by_fp.select(F.col("table"), F.col("fp").alias(n), F.col("rep").alias(to))
-    pairs = links.join(side("a", "x"), ["table", "a"]).join(side("b", "y"), ["table", "b"]).select("x", "y")
-    # classes with the same fingerprint in some table, each with the smallest class of that fingerprint
-    flat = low.select("rep", F.posexplode("fps").alias("table", "fp"))
-    same = flat.join(by_fp.withColumnRenamed("rep", "x"), ["table", "fp"]).where("rep <> x").select("x", F.col("rep").alias("y"))
-    pairs = cuts.cut(pairs.union(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct())
+    low = cuts.cut(each.groupBy("cls").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
+    # classes with the same key of some band, each with the smallest class of that key
+    flat = low.select("rep", F.explode("bands").alias("key"))
+    shared = flat.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("last")).where("x <> last").select("key", "x")
+    pairs = cuts.cut(flat.join(shared, "key").where("rep <> x").select("x", F.col("rep").alias("y")).distinct())
 
     # Sets of the documents in some pair; a bounded filter spares the others' texts the exchange.
     groups = components(cuts, pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))

@@ -65,6 +65,21 @@ def test_near_duplicates_match_brute_force(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == comp
 
 
+def test_near_duplicates_find_added_and_cut_blocks(spark):
+    rng = np.random.default_rng(5)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    texts = []
+    for part in (0.80, 0.82, 0.85, 0.90):
+        for n in range(18):
+            base, more = fresh(400), fresh(int(400 * (1 / part - 1)) - 12)
+            edited = (base + more, base[: int(400 * part) + 4], base[:200] + more + base[200:])[n % 3]
+            texts += [" ".join(base), " ".join(edited)]
+    pairs = list(zip(texts[::2], texts[1::2]))
+    assert all(0.8 <= jaccard(a, b) < 0.95 for a, b in pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {n: n - n % 2 for n in range(len(texts))}
+
+
 def test_keep_one_keeps_one_row_of_each_group(spark):
     docs = documents(spark)
     kept = keep_one(docs)
