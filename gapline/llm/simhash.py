@@ -7,6 +7,7 @@ there a task walks down pairs of nodes together, adds up differing bits, and dro
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from gapline.llm.common import Cuts, bloom_filter, col, components, forest, in_f
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 SMALL = 64  #: pairs of nodes with at most so many pairs of fingerprints are compared directly
-GROUP_BYTES = 32 << 20  #: of shingle sets, and 640 for each, that one task holds to compare a candidate group's pairs
+UNIT_BYTES = 8 << 20  #: of shingle sets, and 640 for each, in a chunk of a candidate group; a task compares two chunks at most
 CHUNK = 1 << 18  #: pairs of nodes expanded at a time
 
 
@@ -176,14 +177,52 @@ def band_keys(grams: list[bytes], bands: int, rows: int) -> list[int]:
     return key.view(np.int64).tolist()
 
 
+def similar_links(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs that link all sets of distinct values with a Jaccard similarity of at least similarity, as a spanning forest.
+
+    Where side holds both 0 and 1, only pairs of one set of each are looked at. Every pair whose sizes allow it is
+    compared exactly, unless its sets are linked already.
+    """
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    size, side = size[order], side[order]
+    flat = np.unique(np.concatenate([sets[n] for n in order]), return_inverse=True)[1]
+    start = np.r_[0, np.cumsum(size)]
+    mark = np.zeros(flat.max(initial=-1) + 1, np.int8)
+    label, across = np.arange(len(sets)), len(np.unique(side)) > 1
+    out = []
+    for n in range(len(sets) - 1):
+        end = int(np.searchsorted(size * similarity, size[n] + 1e-9, "right"))
+        other = label[n + 1 : end] != label[n]
+        if across:
+            other &= side[n + 1 : end] != side[n]
+        to = n + 1 + np.flatnonzero(other)
+        if not len(to):
+            continue
+        own = flat[start[n] : start[n + 1]]
+        mark[own] = 1
+        if 2 * len(to) > end - n:
+            both = np.add.reduceat(mark[flat[start[n + 1] : start[end]]], start[n + 1 : end] - start[n + 1], dtype=np.int64)[to - n - 1]
+        else:
+            at = np.r_[0, np.cumsum(size[to])]
+            both = np.add.reduceat(mark[flat[np.repeat(start[to] - at[:-1], size[to]) + np.arange(at[-1])]], at[:-1], dtype=np.int64)
+        mark[own] = 0
+        near = to[both >= similarity * (size[n] + size[to] - both) - 1e-9]
+        if len(near):
+            found, first = np.unique(label[near], return_index=True)
+            out += [(int(order[n]), int(order[m])) for m in near[first]]
+            label[np.isin(label, found)] = label[n]
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 5) -> DataFrame:
     """(doc_id, component_id, n_rows): groups linked by a Jaccard similarity of k-word shingle sets of at least similarity.
 
     Documents with equal lower-cased word sequences form one class first. Candidates are classes that share a band of
     rows MinHash values of their shingle sets: whatever the edit, scattered words or a whole block, a pair of
     similarity s is missed with a probability of about (1 - s**rows)**bands, with the defaults 1.2e-7 at 0.8 and less
-    above. Candidates are verified on exact shingle sets, so no pair below the threshold is ever linked. n_rows counts
-    the rows of the doc_id. Texts without words
+    above. Groups that candidates link are compared pair by pair on exact shingle sets, but for pairs that others link
+    already, so no pair below the threshold is ever linked. n_rows counts the rows of the doc_id. Texts without words
     form one class. Rows with a null id stand alone (component_id null).
     """
     spark = docs.sparkSession
@@ -225,40 +264,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     held = kept.where("id is not null").select("id", "text").mapInArrow(sets, "id long, s binary")
     held = cuts.cut(held.join(groups, held.id == groups.node).select("id", "s", "root").dropDuplicates(["id"]))
-    large = cuts.cut(held.groupBy("root").agg(F.sum(F.octet_length("s") + 640).alias("size")).where(F.col("size") > GROUP_BYTES).select("root"))
-    linked = pairs.join(groups, pairs.x == groups.node).select("root", "x", "y")
+    # A group in chunks c: a task compares chunk c with chunk d, for each c <= d; mostly there is one chunk.
+    chunks = held.groupBy("root").agg(F.ceil(F.sum(F.octet_length("s") + 640) / UNIT_BYTES).cast("int").alias("chunks"))
+    own = held.join(chunks, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    own = own.select("root", "own", "id", "s", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    units = own.select("root", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "own", "id", "s")
 
-    def similar(p: bytes, q: bytes) -> bool:
-        p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        return both >= similarity * (len(p) + len(q) - both) - 1e-9
+    def links(unit: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+        ids, side = [u[1] for u in unit], np.array([u[0] for u in unit])
+        return [(ids[x], ids[y]) for x, y in similar_links([np.frombuffer(u[2], np.uint64) for u in unit], side, similarity)]
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of a group its sets come first, then its pairs."""
-        now, known = None, {}
-        for b in batches:
+        now, unit = None, []
+        for b in itertools.chain(batches, [None]):
             good = []
-            for root, x, y, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if root != now:
-                    now, known = root, {}
-                if y is None:
-                    known[x] = v
-                elif similar(known[x], known[y]):
-                    good.append((x, y))
+            for root, c, d, side, id_, v in zip(*(x.to_pylist() for x in b.columns), strict=True) if b is not None else [(None,) * 6]:
+                if (root, c, d) != now:
+                    good += links(unit) if len(unit) > 1 else []
+                    now, unit = (root, c, d), []
+                if v:
+                    unit.append((side, id_, v))
             yield pa.RecordBatch.from_arrays([pa.array([g[n] for g in good], pa.int64()) for n in (0, 1)], ["a", "b"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [similar(p, q) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    own = held.select("root", F.col("id").alias("x"), F.lit(None).cast("long").alias("y"), "s")
-    small = own.union(linked.withColumn("s", F.lit(None).cast("binary"))).join(large, "root", "left_anti").select("root", "x", "y", "s")
-    good = small.repartition(partitions(spark), "root").sortWithinPartitions("root", F.col("y").asc_nulls_first()).mapInArrow(within, "a long, b long")
-    # Groups too large for one task to hold: each pair brings its sets along.
-    many = linked.join(large, "root", "left_semi")
-    many = many.join(held.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(held.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
-    good = good.union(many.select("x", "y", "sx", "sy").mapInArrow(compare, "a long, b long"))
+    good = units.repartition(partitions(spark), "root", "c", "d").sortWithinPartitions("root", "c", "d").mapInArrow(within, "a long, b long")
     roots = components(cuts, good)
     reps = low.join(roots, low.rep == roots.node, "left").select("cls", F.coalesce("root", "rep").alias("component_id"))
     out = each.groupBy("id", "cls").agg(F.count("*").alias("n_rows")).join(reps, "cls")

@@ -2,7 +2,7 @@ import numpy as np
 import xxhash
 
 from gapline.llm.common import shingles, words
-from gapline.llm.simhash import hamming_links, keep_one, near_duplicates, node_pairs, simhash, simhash_components
+from gapline.llm.simhash import hamming_links, keep_one, near_duplicates, node_pairs, similar_links, simhash, simhash_components
 from tests.llm.fixtures import documents, empty
 
 
@@ -80,6 +80,36 @@ def test_near_duplicates_find_added_and_cut_blocks(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {n: n - n % 2 for n in range(len(texts))}
 
 
+def test_near_duplicates_find_every_variant_of_a_text(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 10**9, 600)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for at in rng.choice(np.arange(5, 595, 5), 10, replace=False):
+            w[at] = f"v{rng.integers(0, 10**9)}"
+        texts.append(" ".join(w))
+    texts.insert(150, " ".join(base))
+    assert all(0.8 <= jaccard(t, texts[150]) for t in texts) and jaccard(texts[0], texts[1]) < 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in near_duplicates(docs).collect()} == {0}
+    monkeypatch.setattr("gapline.llm.simhash.UNIT_BYTES", 400_000)
+    assert {r.component_id for r in near_duplicates(docs).collect()} == {0}
+
+
+def test_similar_links_match_brute_force():
+    rng = np.random.default_rng(7)
+    base = [rng.choice(500, n, replace=False) for n in (1, 2, 9, 10, 40, 200)]
+    sets = [np.unique(np.r_[rng.permutation(b)[: max(1, int(len(b) * rng.uniform(0.7, 1)))], rng.choice(500, int(len(b) * rng.uniform(0, 0.2)))]).astype(np.uint64) for b in base for _ in range(30)]
+    near = lambda x, y: len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
+    for side in (np.zeros(len(sets), int), rng.integers(0, 2, len(sets))):
+        some = lambda x, y: near(x[1][1], y[1][1]) and (side.max() == 0 or x[1][0] != y[1][0])
+        rows = list(enumerate(zip(side, sets)))
+        links = set(similar_links(sets, side, 0.8))
+        assert all(near(sets[a], sets[b]) for a, b in links)
+        assert brute(rows, lambda x, y: (x[0], y[0]) in links or (y[0], x[0]) in links) == brute(rows, some)
+
+
 def test_keep_one_keeps_one_row_of_each_group(spark):
     docs = documents(spark)
     kept = keep_one(docs)
