@@ -23,6 +23,7 @@ FOCUS = 3  #: coordinates looked at
 BUCKET = 4096  #: vectors of a bucket at most
 RATIO = 1.05  #: longest to shortest of a bucket at most
 SAFE = 1e-9
+ROUNDED = 1e-6  #: of a coordinate; near a cosine of 1 an error of the local cosine counts as its square root
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -75,14 +76,17 @@ class Buckets:
                 reach = norm * longest
                 if reach * (1 + SAFE) < least:
                     break  # no vector from here on is long enough
-                local = float(least) / reach if reach > 0 else -1.0
+                local = float(least) / reach * (1 - 1e-12) if reach > 0 else -1.0
                 if local >= COORDINATE:
                     unit = q / norm
                     slack = math.sqrt(max(0.0, 1 - local * local))
                     for f in np.argsort(-np.abs(unit))[:FOCUS]:
                         c = self.v[take, f] / np.maximum(self.length[take], 1e-300)
-                        wide = slack * math.sqrt(max(0.0, 1 - unit[f] ** 2)) + SAFE
-                        take = take[(c >= unit[f] * local - wide) & (c <= unit[f] + wide + (1 - local))]
+                        wide = slack * math.sqrt(max(0.0, 1 - unit[f] ** 2)) + ROUNDED
+                        # within the angle arccos(local) of the query, a coordinate may come to its pole, -1 or 1
+                        low = -1.0 if unit[f] <= -local else unit[f] * local - wide
+                        high = 1.0 if unit[f] >= local else unit[f] * local + wide
+                        take = take[(c >= low - ROUNDED) & (c <= high + ROUNDED)]
                 elif least > 0:
                     take = take[: int(np.searchsorted(-self.length[lo:hi], -float(least) / norm * (1 - SAFE), "right"))]
             take = take[self.ids[take] != qid]

@@ -1,7 +1,9 @@
 import math
 import random
 
-from gapline.llm.topk import top_k
+import numpy as np
+
+from gapline.llm.topk import Buckets, best, products, top_k
 
 
 def test_matches_brute_force_with_awkward_vectors(spark):
@@ -20,3 +22,21 @@ def test_matches_brute_force_with_awkward_vectors(spark):
     for block in (4096, 2):
         assert sorted(map(tuple, top_k(df, block=block).collect())) == sorted(want)
     assert top_k(df.limit(0)).count() == 0
+
+
+def test_search_is_exact_for_dominant_coordinates():
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(-1000, 1001, (400, 1)), np.c_[rng.choice([-1000, 1000], 400), rng.integers(-40, 41, (400, 3))]]
+    sets += [np.array([[-950, 180, 180, 180], [-800, 346, 346, 346], [-1000, 0, 0, 0]]), np.r_[np.eye(4, dtype=int) * 1000, np.eye(4, dtype=int) * -1000, rng.integers(-300, 301, (200, 4))]]
+    for v in (x.astype(float) for x in sets):
+        ids = np.arange(len(v))
+        for size in (1, 7, len(v)):
+            for qid in range(min(len(v), 60)):
+                for k in (1, 5):
+                    scores, found = [], []
+                    for at in range(0, len(v), size):
+                        Buckets(ids[at : at + size], v[at : at + size]).search(qid, v[qid], k, scores, found)
+                    s = products(v[qid][None, :], v)[0]
+                    other = ids[ids != qid]
+                    want = other[best(s[other], other, k)]
+                    assert found == want.tolist() and scores == s[want].tolist()
