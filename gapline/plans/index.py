@@ -13,6 +13,6 @@ def build(keyed: DataFrame, epsilon: int = 0, variant: str = "none", m: int | No
     """Segments of keyed(list_id, pos, doc_id); epsilon 0 lets the cost model choose blocks and bounds."""
     if epsilon < 0:
         raise ValueError("epsilon: 0 or more")
-    pages = stats.pages(keyed)
-    blocks = partition.blocks(pages, m or GREEDY_BLOCKS[variant], variant, method) if not epsilon else partition.single_blocks(pages, epsilon)
-    return fit.fit(keyed, blocks)
+    if epsilon:
+        return fit.fit_lists(keyed, epsilon)
+    return fit.fit(keyed, partition.blocks(stats.pages(keyed), m or GREEDY_BLOCKS[variant], variant, method))
