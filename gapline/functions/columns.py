@@ -10,6 +10,8 @@ C = 0.109967
 BASE_BITS = 1.957
 SCALE = {"none": 136, "pfor": 27200}
 
+PARAMETERS = ["covered", "delta_y", "delta_x", "y_b", "x_b"]  #: of a segment
+
 
 def bit_width(x: Column) -> Column:
     """Bits of x >= 0; 0 has none."""
@@ -71,3 +73,9 @@ def bit_cost(n_keys: Column, variance: Column, scale: int) -> Column:
 def words_bytes(count: Column, width: Column) -> Column:
     """Bytes of count values of width bits in 64-bit words."""
     return (F.ceil(count * width / 64) * 8).cast("bigint")
+
+
+def doubles(text: Column, separator: str = ",") -> Column:
+    """The numbers of a separated text, in order; parts that aren't numbers are left out."""
+    parts = F.transform(F.split(text, F.lit(separator.replace("|", "\\|"))), lambda p: F.trim(p).try_cast("double"))
+    return F.filter(parts, lambda x: x.isNotNull())

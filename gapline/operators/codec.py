@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapline.functions.columns import bit_width, line, unzigzag, words_bytes, zigzag
-
-PARAMETERS = ["covered", "delta_y", "delta_x", "y_b", "x_b"]
+from gapline.functions.columns import PARAMETERS, bit_width, line, unzigzag, words_bytes, zigzag
 
 
 def residuals(segments: DataFrame) -> DataFrame:
@@ -57,11 +55,16 @@ def index_stats(sizes: DataFrame) -> DataFrame:
 
 
 def sample_residuals(segments: DataFrame, lists: int = 8, seed: int = 0) -> DataFrame:
-    """(list_id, block_id, first, pos, residual, delta, code) of some lists, the first in a seeded order of hashes."""
-    some = segments.select("list_id").distinct().orderBy(F.xxhash64(F.lit(seed), "list_id"), "list_id").limit(lists)
+    """(list_id, block_id, first, pos, residual, delta, code) of some lists, the first in a seeded order of MD5 hashes."""
+    some = segments.select("list_id").distinct().orderBy(F.md5(F.concat_ws(":", F.lit(seed), "list_id")), "list_id").limit(lists)
     return delta_codes(segments.join(F.broadcast(some), "list_id", "left_semi")).select("list_id", "block_id", "first", "pos", "residual", "delta", "code")
 
 
 def plain_sizes(sizes: DataFrame) -> DataFrame:
     """index_sizes with plain_bytes: 20 bytes a segment, unpacked, and 1 a block, beside corrections and signs."""
     return sizes.withColumn("plain_bytes", F.expr("n_segments * 20 + 1 + correction_bytes + sign_bytes"))
+
+
+def max_slopes(segments: DataFrame) -> DataFrame:
+    """(list_id, max_slope): the steepest line's slope among a list's segments."""
+    return segments.groupBy("list_id").agg(F.max(F.col("delta_y") / F.col("delta_x")).alias("max_slope"))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapline.operators.stats import PAGE, with_page
+from gapline.operators.streams import groups
 
 CHUNK = 1 << 20  #: keys that one unit of work fits; segments don't cross it
 TOP = (1 << 31) - 1
@@ -207,37 +208,19 @@ def _fit(rows: DataFrame, chunk: Column, partitions: int | None) -> DataFrame:
     """A unit is a chunk of CHUNK positions of a block; units are dealt by hash and fitted in one stream per task, so
     many small lists share a Python call and a long list is spread over tasks."""
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = rows.select("list_id", "block_id", "epsilon", "pos", "doc_id", chunk.alias("chunk"))
+    units = rows.select("list_id", "block_id", chunk.alias("chunk"), "epsilon", "pos", "doc_id")
     dealt = units.repartition(n, "list_id", "block_id", "chunk").sortWithinPartitions("list_id", "block_id", "chunk", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []  # the unit that may go on in the next batch
-        whole: list[tuple] = []
+        held: list[tuple] = []
         size = 0
-
-        def close() -> None:
-            nonlocal size
-            if now is not None:
-                whole.append((*now[:3], *(np.concatenate(x) for x in zip(*parts, strict=True))))
-                size += len(whole[-1][3])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            a = [b.column(k).to_numpy() for k in range(6)]
-            new = np.flatnonzero(np.r_[True, (a[0][1:] != a[0][:-1]) | (a[1][1:] != a[1][:-1]) | (a[5][1:] != a[5][:-1])])
-            for x, y in zip(new, np.r_[new[1:], b.num_rows], strict=True):
-                unit = (int(a[0][x]), int(a[1][x]), int(a[2][x]), int(a[5][x]))
-                if unit != now:
-                    close()
-                    if size >= AT_ONCE:
-                        yield fitted(whole)
-                        whole.clear()
-                        size = 0
-                    now, parts = unit, []
-                parts.append((a[3][x:y], a[4][x:y]))
-        close()
-        if whole:
-            yield fitted(whole)
+        for (list_id, block_id, _, epsilon), (pos, doc) in groups(batches, 4):
+            held.append((list_id, block_id, epsilon, pos, doc))
+            size += len(pos)
+            if size >= AT_ONCE:
+                yield fitted(held)
+                held, size = [], 0
+        if held:
+            yield fitted(held)
 
     return dealt.mapInArrow(run, SEGMENTS)

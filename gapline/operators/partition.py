@@ -4,66 +4,73 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.functions.columns import BASE_BITS, SCALE, C
 from gapline.operators.stats import PAGE
+from gapline.operators.streams import groups
 
 SPAN = {"greedy": 1 << 16, "optimal": 1 << 10}  #: pages that are partitioned together; a longer list is partitioned span by span
 BLOCKS = "list_id long, block_id long, start_idx long, end_idx long, epsilon long, cost double"
 
 
 class Ranges:
-    """Statistics of any range of consecutive pages, from exact prefix sums."""
+    """Statistics of ranges of consecutive pages, from exact prefix sums; bounds may be arrays."""
 
-    def __init__(self, p: pd.DataFrame, scale: int, c: float):
-        self.scale, self.c = scale, c
-        self.n = np.concatenate([[0], np.cumsum(p["n"].to_numpy(np.int64))])
-        self.first, self.last = p["first_id"].to_numpy(np.int64), p["last_id"].to_numpy(np.int64)
-        self.inner = np.concatenate([[0], np.cumsum([int(x) for x in p["sum_gap2"]], dtype=object)])
-        jump = self.first[1:].astype(object) - self.last[:-1].astype(object)
-        self.border = np.concatenate([[0], np.cumsum(jump * jump, dtype=object)]) if len(jump) else np.zeros(1, object)
+    def __init__(self, n: np.ndarray, first: np.ndarray, last: np.ndarray, squares: list[int], scale: int, c: float):
+        self.scale, self.c, self.first, self.last = scale, c, first, last
+        self.n = np.concatenate([[0], np.cumsum(n)])
+        jump = (first[1:] - last[:-1]).astype(object)
+        # squares of gaps up to each page's end, those between pages included, and of the gap before each page
+        self.before = np.concatenate([[0], jump * jump]).astype(object)
+        self.upto = np.concatenate([[0], np.cumsum(np.array(squares, object) + self.before, dtype=object)])
 
     def __len__(self) -> int:
         return len(self.first)
 
-    def variance(self, a: int, b: int) -> tuple[int, float]:
-        """Keys and gap variance of pages a to b - 1."""
-        n = int(self.n[b] - self.n[a])
-        g = n - 1
-        if g < 2:
-            return n, 0.0
-        s = int(self.last[b - 1] - self.first[a])
-        q = int(self.inner[b] - self.inner[a]) + int(self.border[b - 1] - self.border[a])
-        return n, max(0.0, (g * q - s * s) / (g * (g - 1)))
-
-    def cost(self, a: int, b: int) -> float:
+    def variance(self, a: np.ndarray | int, b: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and gap variance of pages a to b - 1; 0 for fewer than two gaps."""
+        n = self.n[b] - self.n[a]
+        g = (n - 1).astype(object)
+        s = (self.last[b - 1] - self.first[a]).astype(object)
+        spread = np.asarray(g * (self.upto[b] - self.upto[a] - self.before[a]) - s * s, float)
+        pairs = np.asarray(g * (g - 1), float)
+        return n, np.where(pairs > 0, np.maximum(spread, 0) / np.maximum(pairs, 1), 0.0)
+
+    def cost(self, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
         n, v = self.variance(a, b)
-        return 0.0 if n < 2 or v <= 0 or self.c <= 0 else (n - 1) * max(0.0, BASE_BITS + 0.5 * math.log2(self.c * self.scale * v))
+        some = (n > 1) & (v > 0) & (self.c > 0)
+        return np.where(some, (n - 1) * np.maximum(0.0, BASE_BITS + 0.5 * np.log2(np.where(some, self.c * self.scale * v, 1.0))), 0.0)
 
     def epsilon(self, a: int, b: int) -> int:
-        n, v = self.variance(a, b)
+        n, v = self.variance(np.int64(a), np.int64(b))
         if n < 2 or v <= 0:
             return 1
-        e = math.ceil(math.sqrt(2 * math.log(2.0) * self.c * self.scale * v * (n - 1) / n))
+        e = math.ceil(math.sqrt(2 * math.log(2.0) * self.c * self.scale * float(v) * (int(n) - 1) / int(n)))
         return (1 << max(1, e.bit_length())) - 1
 
 
 def greedy(r: Ranges, m: int) -> list[tuple[int, int]]:
     """Splits the costliest range at its best page border while fewer than m ranges wait; ranges of one page are done."""
-    heap, done = [(-r.cost(0, len(r)), 0, len(r))], []
+    whole = (0, len(r))
+    if m > len(r):  # no more than the pages can wait, so every range is split
+        return [(k, k + 1) for k in range(len(r))] if r.c > 0 else [whole]
+    heap, done = [(0.0, *whole)], []
     while heap and len(heap) < m and r.c > 0:
         _, a, b = heapq.heappop(heap)
         if b - a == 1:
             done.append((a, b))
             continue
-        at = min(range(a + 1, b), key=lambda k: (r.cost(a, k) + r.cost(k, b), k))
-        for x, y in ((a, at), (at, b)):
-            heapq.heappush(heap, (-r.cost(x, y), x, y))
+        at = np.arange(a + 1, b)
+        left, right = r.cost(np.full(len(at), a), at), r.cost(at, np.full(len(at), b))
+        k = int((left + right).argmin())
+        heapq.heappush(heap, (-left[k], a, int(at[k])))
+        heapq.heappush(heap, (-right[k], int(at[k]), b))
     return sorted(done + [(a, b) for _, a, b in heap])
 
 
@@ -72,9 +79,9 @@ def optimal(r: Ranges, m: int) -> list[tuple[int, int]]:
     n = len(r)
     m = min(m, n)
     cost = np.full((n + 1, n + 1), np.inf)
-    for a in range(n):
-        for b in range(a + 1, n + 1):
-            cost[a, b] = r.cost(a, b)
+    a, b = np.triu_indices(n + 1, 1)
+    for k in range(0, len(a), 1 << 16):
+        cost[a[k : k + (1 << 16)], b[k : k + (1 << 16)]] = r.cost(a[k : k + (1 << 16)], b[k : k + (1 << 16)])
     best, back = cost[0].copy(), []
     for _ in range(m - 1):
         total = best[:, None] + cost
@@ -98,21 +105,33 @@ def merge(r: Ranges, ranges: list[tuple[int, int]]) -> list[tuple[int, int, int,
             out[-1][1] = b
         else:
             out.append([a, b, e])
-    return [(a, b, e, r.cost(a, b)) for a, b, e in out]
+    costs = r.cost(np.array([x[0] for x in out]), np.array([x[1] for x in out]))
+    return [(a, b, e, cost) for (a, b, e), cost in zip(out, costs.tolist(), strict=True)]
 
 
 def blocks(page_table: DataFrame, m: int = 2048, variant: str = "none", method: str = "greedy", c: float = C) -> DataFrame:
-    """(list_id, block_id, start_idx, end_idx, epsilon, cost): blocks tile each list; end_idx is exclusive."""
+    """(list_id, block_id, start_idx, end_idx, epsilon, cost): blocks tile each list; end_idx is exclusive. Each task partitions a stream of lists."""
     scale, split, span = SCALE[variant], {"greedy": greedy, "optimal": optimal}[method], SPAN[method]
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("page", ignore_index=True)
-        r = Ranges(p, scale, c)
-        start = int(p["page"][0])
-        rows = [(int(p["list_id"][0]), (start // span << 32) + i, start * PAGE + int(r.n[a]), start * PAGE + int(r.n[b]), e, cost) for i, (a, b, e, cost) in enumerate(merge(r, split(r, m)))]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in BLOCKS.split(", ")])
-
-    return page_table.groupBy("list_id", F.expr(f"page div {span}").alias("span")).applyInPandas(lambda _, p: run(p), BLOCKS)
+    n = int(page_table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = page_table.select("list_id", F.expr(f"page div {span}").alias("span"), "page", "n", "first_id", "last_id", F.col("sum_gap2").cast("string").alias("q"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for (list_id, part), (page, keys, first, last, squares) in groups(batches, 2):
+            r = Ranges(keys, first, last, [int(x) for x in squares], scale, c)
+            start = int(page[0]) * PAGE
+            out += [(list_id, (part << 32) + i, start + int(r.n[a]), start + int(r.n[b]), e, cost) for i, (a, b, e, cost) in enumerate(merge(r, split(r, m)))]
+            if len(out) >= 10_000:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 5 + [pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
+
+    return pages.repartition(n, "list_id", "span").sortWithinPartitions("list_id", "span", "page").mapInArrow(run, BLOCKS)
 
 
 def single_blocks(page_table: DataFrame, epsilon: int) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -70,29 +70,49 @@ class _Part(InputPartition):
         self.path, self.offset, self.end, self.ordinal, self.pos, self.left = path, offset, end, ordinal, pos, left
 
 
-def parts_of(path: str, split: int) -> list[_Part]:
-    """Parts of about split bytes, cut within lists too; list ordinals go on from file to file."""
+def parts_of(file: str, split: int) -> Iterator[_Part]:
+    """Parts of about split bytes of one file, cut within lists too; ordinals count the file's lists."""
     if split < 4:
         raise ValueError("splitBytes: 4 or more")
-    out, ordinal = [], 0
-    for file in files_of(path):
-        walk = lengths(file)
-        next(walk)
-        open_ = None
-        for offset, n in walk:
-            if open_ is None:
-                open_ = _Part(file, offset, offset, ordinal, 0, n)
-            end = offset + 4 * n
-            while end - open_.offset > split:
-                cut = max(offset, min(end, open_.offset + split - (open_.offset + split - offset) % 4))
-                open_.end = cut
-                out.append(open_)
-                open_ = _Part(file, cut, cut, ordinal, (cut - offset) // 4, (end - cut) // 4)
-            open_.end = end
-            ordinal += 1
-        if open_ is not None:
-            out.append(open_)
-    return out
+    walk = lengths(file)
+    next(walk)
+    open_ = None
+    for ordinal, (offset, n) in enumerate(walk):
+        if open_ is None:
+            open_ = _Part(file, offset, offset, ordinal, 0, n)
+        end = offset + 4 * n
+        while end - open_.offset > split:
+            cut = max(offset, min(end, open_.offset + split - (open_.offset + split - offset) % 4))
+            open_.end = cut
+            yield open_
+            open_ = _Part(file, cut, cut, ordinal, (cut - offset) // 4, (end - cut) // 4)
+        open_.end = end
+    if open_ is not None:
+        yield open_
+
+
+def keys_of(part: _Part) -> Iterator[pa.RecordBatch]:
+    """(list_id, pos, doc_id) of a part."""
+    store, base = opened(part.path)
+    at, ordinal, pos, left = part.offset, part.ordinal, part.pos, part.left
+    names = ["list_id", "pos", "doc_id"]
+    with store.open_input_file(base) as f:
+        f.seek(at)
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+        while True:
+            take = min(left, PIECE, (part.end - at) // 4)
+            if take:
+                held.append((np.full(take, ordinal), np.arange(pos, pos + take), np.frombuffer(f.read(4 * take), "<u4").astype(np.int64)))
+                at, pos, left, rows = at + 4 * take, pos + take, left - take, rows + take
+            if held and (rows >= PIECE or at >= part.end):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+                held, rows = [], 0
+            if at >= part.end:
+                return
+            if not left:
+                left, ordinal, pos = int.from_bytes(f.read(4), "little"), ordinal + 1, 0
+                at += 4
 
 
 class _DocsReader(DataSourceReader):
@@ -100,31 +120,18 @@ class _DocsReader(DataSourceReader):
         self.path, self.split = options["path"], int(options.get("splitBytes", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
-        return parts_of(self.path, self.split)
+        """Parts of all files; a walk on the driver, which read_docs does on executors instead."""
+        out: list[_Part] = []
+        base = 0
+        for file in files_of(self.path):
+            for part in parts_of(file, self.split):
+                part.ordinal += base
+                out.append(part)
+            base += sum(1 for _ in lengths(file)) - 1
+        return out
 
     def read(self, partition: _Part | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # Spark's stand-in where there are no parts
-            return
-        store, base = opened(partition.path)
-        at, ordinal, pos, left = partition.offset, partition.ordinal, partition.pos, partition.left
-        names = ["list_id", "pos", "doc_id"]
-        with store.open_input_file(base) as f:
-            f.seek(at)
-            held: list[tuple[np.ndarray, ...]] = []
-            rows = 0
-            while True:
-                take = min(left, PIECE, (partition.end - at) // 4)
-                if take:
-                    held.append((np.full(take, ordinal), np.arange(pos, pos + take), np.frombuffer(f.read(4 * take), "<u4").astype(np.int64)))
-                    at, pos, left, rows = at + 4 * take, pos + take, left - take, rows + take
-                if held and (rows >= PIECE or at >= partition.end):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
-                    held, rows = [], 0
-                if at >= partition.end:
-                    return
-                if not left:
-                    left, ordinal, pos = int.from_bytes(f.read(4), "little"), ordinal + 1, 0
-                    at += 4
+        return iter(()) if partition is None else keys_of(partition)  # None: Spark's stand-in where there are no parts
 
 
 class DocsSource(DataSource):
@@ -141,9 +148,33 @@ class DocsSource(DataSource):
         return _DocsReader(self.options)
 
 
-def read_docs(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(DocsSource)
-    return spark.read.format("docs").load(path)
+def read_docs(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """(list_id, pos, doc_id) of a collection, or of a folder's, numbered on from file to file.
+
+    Executors walk the files, each in a stream of its lengths, for parts of split bytes; then the parts are dealt out and
+    read. The driver lists the files and holds nothing of what is in them.
+    """
+    files = spark.createDataFrame(list(enumerate(files_of(path))), "file long, path string").repartition("file")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out = [(file, name, p.offset, p.end, p.ordinal, p.pos, p.left, 0) for p in parts_of(name, split)]
+                out.append((file, name, 0, 0, 0, 0, 0, sum(1 for _ in lengths(name)) - 1))
+                yield pa.RecordBatch.from_pylist([dict(zip(fields, x, strict=True)) for x in out])
+
+    fields = ["file", "path", "offset", "end", "ordinal", "pos", "left", "n_lists"]
+    found = files.mapInArrow(walk, "file long, path string, offset long, end long, ordinal long, pos long, left long, n_lists long")
+    before = F.sum("n_lists").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    base = found.where("end = 0").select("file", F.coalesce(before, F.lit(0)).alias("base"))
+    parts = found.where("end > 0").join(base, "file").select("path", "offset", "end", (F.col("ordinal") + F.col("base")).alias("ordinal"), "pos", "left")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                yield from keys_of(_Part(*row))
+
+    return parts.repartition("path", "offset").mapInArrow(read, "list_id bigint, pos bigint, doc_id bigint")
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
@@ -236,3 +267,20 @@ def read_keys(spark: SparkSession, path: str, bits: int = 32) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(keys)], ["pos", "key"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "pos bigint, key bigint")
+
+
+def write_keys(keys: DataFrame, path: str, bits: int = 32) -> None:
+    """A key file of keys(key), in order: one task's stream behind their count, under a temporary name until it is whole."""
+    n = keys.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(path)
+        temp = f"{base}_{uuid.uuid4().hex}"
+        with store.open_output_stream(temp) as out:
+            out.write(n.to_bytes(8, "little"))
+            for b in batches:
+                out.write(b.column(0).to_numpy().astype(f"<u{bits // 8}").tobytes())
+        store.move(temp, base)
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    keys.select(F.col("key").cast("bigint")).repartition(1).sortWithinPartitions("key").mapInArrow(run, "n bigint").collect()

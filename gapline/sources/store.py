@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import tempfile
 import uuid
@@ -36,13 +37,21 @@ def load(spark: SparkSession, folder: str, lists: DataFrame | None = None, name:
     return all_.join(wanted, ["list_bucket", "list_id"]).drop("list_bucket")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names; one is set only where none is named."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Where none is, a temporary one is set in a local session; on a cluster, whose
+    executors need not share such a folder, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir: name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gapline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/gapline/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/gapline/{name}-{uuid.uuid4().hex}"
 
 
 def missing(segments: DataFrame, lists: DataFrame) -> DataFrame:

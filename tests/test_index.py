@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,8 +57,9 @@ def test_skewed_list_splits(spark):
 def test_partitioners_match_brute_force():
     rng = np.random.default_rng(1)
     ids = np.cumsum(rng.integers(1, 300, 5 * 1024))
-    p = pd.DataFrame([{"list_id": 0, "page": i, "n": 1024, "first_id": x[0], "last_id": x[-1], "sum_gap2": int((np.diff(x) ** 2).sum())} for i, x in enumerate(np.split(ids, 5))])
-    r = partition.Ranges(p, 136, partition.C)
+    pages = np.split(ids, 5)
+    args = np.full(5, 1024), np.array([x[0] for x in pages]), np.array([x[-1] for x in pages]), [int((np.diff(x) ** 2).sum()) for x in pages]
+    r = partition.Ranges(*args, 136, partition.C)
     for a in range(5):
         for b in range(a + 1, 6):
             g = np.diff(ids[a * 1024 : b * 1024])
@@ -69,7 +69,7 @@ def test_partitioners_match_brute_force():
     best = min(sum(r.cost(x, y) for x, y in zip((0, *c), (*c, 5))) for c in itertools.combinations(range(1, 5), 2))
     assert abs(sum(r.cost(*x) for x in partition.optimal(r, 3)) - best) < 1e-6
     assert partition.greedy(r, 1) == [(0, 5)] and partition.greedy(r, 99) == [(i, i + 1) for i in range(5)]
-    assert partition.greedy(partition.Ranges(p, 136, 0.0), 99) == [(0, 5)]
+    assert partition.greedy(partition.Ranges(*args, 136, 0.0), 99) == [(0, 5)]
 
 
 def test_search_strategies_agree(spark):
@@ -93,6 +93,11 @@ def test_next_geq_and_cursor(spark):
     probes = [(6, x) for x in (0, 5, 3000, 3001, 700_000, SKEWED[-1], SKEWED[-1] + 1)] + [(1, 5), (1, 6), (42, 1)]
     got = {(r.list_id, r.x): r.doc_id for r in search.next_geq(k, spark.createDataFrame(probes, "list_id long, x long")).collect()}
     assert got == {(i, x): min((d for d in (LISTS[i] if i < len(LISTS) else []) if d >= x), default=None) for i, x in probes}
+    asked = spark.createDataFrame(probes, "list_id long, x long")
+    for epsilon in (1, 15, 255, 0):
+        assert {(r.list_id, r.x): r.doc_id for r in search.seek_segments(build(k, epsilon), asked).collect()} == got
+    seen = {(r.list_id, r.x): (r.doc_id, r.n_skipped) for r in search.seek_gaps(gaps.encode(k), asked).collect()}
+    assert seen == {(i, x): (d, None if d is None else LISTS[i].index(d) // 128 * 128) for (i, x), d in got.items()}
     assert {(r.list_id, r.doc_id): r.next_id for r in search.cursor(k).collect()} == {(i, a): b for i, ids in enumerate(LISTS) for a, b in zip(ids, [*ids[1:], None])}
 
 
@@ -128,4 +133,5 @@ def test_next_geq_over_far_ranges(spark):
     xs = [-3, 0, 5, 6, 7, 1 << 20, (5 << 20), (5 << 20) + 2, (5 << 20) + 10, 9 << 20, (9 << 20) + 1, 1 << 31]
     probes = spark.createDataFrame([(i, x) for i in range(4) for x in xs], "list_id long, x long")
     want = [(i, x, min((d for d in (lists[i] if i < 3 else []) if d >= x), default=None)) for i in range(4) for x in xs]
-    assert sorted(map(tuple, search.next_geq(k, probes).collect()), key=repr) == sorted(want, key=repr)
+    for got in (search.next_geq(k, probes), search.seek_segments(build(k, 7), probes), search.seek_gaps(gaps.encode(k), probes)):
+        assert sorted(map(tuple, got.select("list_id", "x", "doc_id").collect()), key=repr) == sorted(want, key=repr)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from gapline.sources import collections as c
+from gapline.sources import store
 from gapline.streaming import incremental
 from tests.test_index import keyed
 
@@ -25,10 +26,11 @@ def test_collection_in_parts(spark, tmp_path):
     for path in (f"{tmp_path}/one.docs", f"file://{tmp_path}/many"):
         assert tuple(c.read_meta(spark, path).first()) == (9999, 23, len(want))
         for split in (4, 10, 100, 1000, 1 << 20):
-            assert split > 1000 or len(c.parts_of(path, split)) > 1
-            got = spark.read.format("docs").option("splitBytes", split).load(path) if split >= 100 else None
-            if got is not None:
-                assert sorted(map(tuple, got.collect())) == want
+            assert split > 1000 or len(list(c.parts_of(c.files_of(path)[0], split))) > 1
+            if split >= 100:
+                spark.dataSource.register(c.DocsSource)
+                for got in (spark.read.format("docs").option("splitBytes", split).load(path), c.read_docs(spark, path, split)):
+                    assert sorted(map(tuple, got.collect())) == want
             else:
                 reader = c._DocsReader({"path": path, "splitBytes": split})
                 assert sorted(t for p in reader.partitions() for b in reader.read(p) for t in zip(*(x.to_pylist() for x in b.columns), strict=True)) == want
@@ -53,6 +55,8 @@ def test_queries_and_keys(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out").collect()) == ["4 5", "9"]
     (tmp_path / "k").write_bytes(np.array([3], "<u8").tobytes() + np.array([9, 2, 5], "<u4").tobytes())
     assert [r.key for r in c.read_keys(spark, f"{tmp_path}/k").collect()] == [2, 5, 9]
+    c.write_keys(spark.createDataFrame([(9,), (2,), (5,), (2,)], "key long"), f"file://{tmp_path}/w", 64)
+    assert [tuple(r) for r in c.read_keys(spark, f"{tmp_path}/w", 64).collect()] == [(0, 2), (1, 2), (2, 5), (3, 9)]
 
 
 def test_stream_is_ingested_once(spark, tmp_path):
@@ -62,3 +66,16 @@ def test_stream_is_ingested_once(spark, tmp_path):
         stream = spark.readStream.schema(k.schema).parquet(f"{tmp_path}/in")
         incremental.ingest(stream, f"{tmp_path}/table", f"{tmp_path}/check").awaitTermination()
     assert sorted(map(tuple, incremental.postings(spark, f"{tmp_path}/table").collect())) == [(0, 1), (0, 2), (1, 3)]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        def __init__(self, master, folder):
+            self.conf = type("Conf", (), {"get": lambda _, key, default: folder, "set": lambda *_: None})()
+            self.sparkContext = type("Context", (), {"master": master})()
+
+    assert store.shared_dir(Session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    assert store.shared_dir(Session("local[4]", None)).startswith("file:///")
+    for master in ("yarn", "local-cluster[3,2,3000]", "spark://a:7077"):
+        with pytest.raises(ValueError):
+            store.shared_dir(Session(master, None))
