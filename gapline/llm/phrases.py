@@ -5,27 +5,30 @@
 3. Aho-Corasick automata are compiled of confirmed phrases, one set per shard of documents with the phrases that may
    occur there, and the shard's documents stream through them; every hit gives the context of its windows.
 4. Equal contexts, and equal windows of different contexts of one phrase, are resolved to their earliest document by
-   sums that combine before they are exchanged.
+   sums that combine before they are exchanged. Contexts and windows are compared by 128-bit digests of their text: among
+   n different ones the chance that any two agree is below n ** 2 / 2 ** 129.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.anchors import context_keys, covered, runs
+from gapline.llm.anchors import covered, runs
 from gapline.llm.common import Cuts, col, partitions, texts
 from gapline.llm.decontaminate import Vocabulary
 
 GRAM = 8  #: words of a phrase
 AT_ONCE = 200_000  #: words laid end to end at a time, or one document
-AUTOMATON = 50_000  #: phrases of one automaton at most
+AUTOMATON = 25_000  #: phrases of a shard on average, at most; an automaton has twice as many at most
+SALTS = 16
 HOT_KEYS = 1_000_000  #: at most so many phrases are hot, which is what is broadcast
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -56,12 +59,13 @@ def hot_keys(recurring: DataFrame, total: int, least: int) -> np.ndarray:
     return np.sort(got["akey"].to_numpy(np.int64).view(np.uint64))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = GRAM, hot_least: int = 1000, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = GRAM, hot_least: int = 1000, keep_text: bool = False, automaton: int = AUTOMATON, digest: Callable[[bytes], bytes] = xxhash.xxh3_128_digest) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) for every row of docs.
 
     Words are runs of bytes other than space and \\x09-\\x0D, unchanged. A word goes if a window of `window` words that
     covers it also starts in a document with a smaller doc_id. Null texts have no words. Rows with a null id lose
     nothing and make others lose nothing. Rows that repeat an id are judged each for itself, against smaller ids only.
+    automaton: phrases of a shard, of which there are as many as that takes. digest: of a context's or window's text.
     """
     if not 1 <= gram <= window:
         raise ValueError("gram: 1 to window words")
@@ -116,19 +120,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = cuts.cut(joined.mapInArrow(phrases, "id long, key binary, text string, phrases array<binary>"))
     said = held.select("id", "key", F.explode("phrases").alias("phrase"))
     confirmed = said.groupBy("phrase").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("phrase")
-    shards = partitions(spark)
+    shards = max(partitions(spark), -(-said.count() // automaton))
     shard = F.pmod(F.xxhash64("id", "key"), F.lit(shards)).cast("int").alias("shard")
     sent = said.select(shard, "phrase").distinct().join(confirmed, "phrase", "left_semi")
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     both = sent.select("shard", F.lit(0).alias("kind"), none("long", "id"), none("binary", "key"), F.col("phrase").alias("text")).union(held.select(shard, F.lit(1), "id", "key", F.col("text").cast("binary")))
     dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("kind").drop("shard")
 
+    def parts(w: list[bytes], start: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """Digests of n words of w from each start on, joined by spaces."""
+        if not len(start):
+            return []
+        line = b" ".join(w)
+        at = np.r_[0, np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)]
+        return [digest(line[x:y]) for x, y in zip(at[start].tolist(), (at[start + n] - 1).tolist(), strict=True)]
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, automata, last, n = Vocabulary(), [], None, 0
 
         def add(phrase: bytes) -> None:
             nonlocal last, n
-            if last is None or n >= AUTOMATON:
+            if last is None or n >= 2 * automaton:
                 last, n = ahocorasick.Automaton(), 0
                 automata.append(last)
             last.add_word(f" {phrase.decode('latin-1')} ", 1)
@@ -150,7 +162,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at = 0
             for group in groups([(t or b"").split() for t in b.column(3).slice(split).to_pylist()], AT_ONCE, len):
                 h, begin, ends = laid_out(group, seen)
-                r, hashes = runs(h, ends, window, gram, hot.value)
+                r, _ = runs(h, ends, window, gram, hot.value)
                 hit = np.zeros(len(h) + 1, bool)
                 for k, w in enumerate(group):
                     line = f" {b' '.join(w).decode('latin-1')} "
@@ -160,24 +172,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         if len(over):
                             hit[begin[k] + np.searchsorted(stops, over) - gram + 1] = True
                 good = hit[r.anchor]
-                ch = context_keys(r, hashes, window)[good].view(np.int64)
                 start, count, doc, akey = r.start[good], r.count[good], r.doc[good], r.key[good].view(np.int64)
-                every = hashes.every(window).view(np.int64) if len(h) >= window else h.view(np.int64)[:0]
-                own = [every[s : s + c] for s, c in zip(start, count, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[at + d] for d in doc], pa.int64()), pa.array([keys[at + d] for d in doc], pa.binary()), pa.array(akey), pa.array(ch), pa.array(start - begin[doc]), pa.array(count), pa.array(own, pa.list_(pa.int64()))], ["id", "key", "akey", "ch", "start", "n", "hashes"])
+                place = start - begin[doc]
+                cut = np.searchsorted(doc, np.arange(len(group) + 1)).tolist()
+                ch = [x for k, w in enumerate(group) for x in parts(w, place[cut[k] : cut[k + 1]], count[cut[k] : cut[k + 1]] + window - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[at + d] for d in doc], pa.int64()), pa.array([keys[at + d] for d in doc], pa.binary()), pa.array(akey), pa.array(ch, pa.binary()), pa.array(place), pa.array(count)], ["id", "key", "akey", "ch", "start", "n"])
                 at += len(group)
 
-    hits = cuts.cut(dealt.mapInArrow(stream, "id long, key binary, akey long, ch long, start long, n long, hashes array<long>"))
+    hits = cuts.cut(dealt.mapInArrow(stream, "id long, key binary, akey long, ch binary, start long, n long"))
     contexts = cuts.cut(hits.groupBy("akey", "ch").agg(F.min("id").alias("first")))
-    several = contexts.groupBy("akey").agg(F.count("*").alias("n"), F.min("first").alias("x"), F.max("first").alias("y")).where("n > 1 and x < y").select("akey")
-    # Contexts are told which phrases have several of them; hits, of which one phrase may have very many, meet them by context.
-    contexts = contexts.join(several.withColumn("open", F.lit(True)), "akey", "left")
+    several = contexts.groupBy("akey").agg(F.count("*").alias("n"), F.min("first").alias("x"), F.max("first").alias("y")).where("n > 1 and x < y")
+    # A phrase may have very many contexts: they meet what is known of it in SALTS parts, and hits meet them by context.
+    several = several.select("akey", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("open"))
+    contexts = contexts.withColumn("salt", F.pmod(F.xxhash64("ch"), F.lit(SALTS)).cast("int")).join(several, ["akey", "salt"], "left").drop("salt")
     owned = hits.join(contexts, ["akey", "ch"])
     whole = owned.where("first < id").select("id", "key", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
-    open_ = owned.where("first = id and open")
-    single = cuts.cut(open_.select("akey", "id", "key", "start", F.posexplode("hashes").alias("o", "h")))
-    earliest = single.groupBy("akey", "h").agg(F.min("id").alias("first"), F.max("id").alias("y")).where("first < y").drop("y")
-    late = single.join(earliest, ["akey", "h"]).where("first < id").select("id", "key", (F.col("start") + F.col("o")).alias("start"), (F.col("start") + F.col("o") + window).alias("end"))
+    # Of different contexts of one phrase, each at its earliest document, all windows are compared.
+    asked = owned.where("first = id and open").groupBy("id", "key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, (t, found) in enumerate(zip(texts(b.column(2)), b.column(3).to_pylist(), strict=True)):
+                starts = np.unique(np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in found]))
+                own = pa.array(parts(t.split(), starts, np.full(len(starts), window)), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[n], len(starts)), pa.repeat(b.column(1)[n], len(starts)), own, pa.array(starts)], ["id", "key", "h", "start"])
+
+    told = held.select("id", "key", "text").dropDuplicates(["id", "key"]) if not held.groupBy("id", "key").count().where("count > 1").isEmpty() else held.select("id", "key", "text")
+    single = cuts.cut(told.join(asked, ["id", "key"]).mapInArrow(windows, "id long, key binary, h binary, start long"))
+    earliest = cuts.cut(single.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("y")).where("first < y").drop("y"))
+    late = single.join(earliest, "h").where("first < id").select("id", "key", "start", (F.col("start") + window).alias("end"))
     cutouts = whole.union(late).groupBy("id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

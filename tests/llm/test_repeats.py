@@ -19,7 +19,8 @@ def small(spark, seed):
             x = rng.randint(0, 15)
             w[at:at] = passage[x : x + rng.randint(1, 20)]
         texts.append(" ".join(w))
-    texts += [texts[3], texts[3], "x x x x x x x x x x x x x", "x x x x x x x x", "", None, "é à ü é à ü é à ü"]
+    twice = " ".join(["u", *passage, "v"])
+    texts += [" ".join(["s", *passage, "t"]), f"{twice} {twice}", texts[3], texts[3], "x x x x x x x x x x x x x", "x x x x x x x x", "", None, "é à ü é à ü é à ü"]
     return spark.createDataFrame([*enumerate(texts), (5, texts[5]), (None, texts[3]), (None, None), (6, texts[8])], "doc_id long, text string")
 
 
@@ -41,8 +42,9 @@ def test_words_match_brute_force(spark, window, gram, hot):
                 gone.update(range(s, s + window))
         left = b" ".join(x for i, x in enumerate(w) if i not in gone)
         want.append((d, len(w), len(gone), hashlib.sha256(left).hexdigest()))
-    out = phrases.remove_repeats(docs, window=window, gram=gram, hot_least=hot)
-    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    for automaton in (phrases.AUTOMATON, 3):
+        out = phrases.remove_repeats(docs, window=window, gram=gram, hot_least=hot, automaton=automaton)
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
 
 
 @pytest.mark.parametrize(("window", "gram", "hot"), [(7, 3, 2), (16, 16, 1000), (20, 5, 1)])
