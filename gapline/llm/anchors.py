@@ -101,12 +101,6 @@ def runs(symbols: np.ndarray, ends: np.ndarray, window: int, gram: int, hot: np.
     return Runs(start, stop - start + 1, at[start].astype(np.int64), g[at[start]], moved[start], doc[start]), hashes
 
 
-def context_keys(r: Runs, hashes: Hashes, window: int) -> np.ndarray:
-    """A hash of each run's whole context: its symbols, and where the anchor stands in it."""
-    h = hashes.of(r.start, r.start + r.count + window - 1)
-    return mix(h ^ mix((r.anchor - r.start).astype(np.uint64) << np.uint64(32) | r.count.astype(np.uint64)))
-
-
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n positions lie in [start, end) of some pair."""
     d = np.zeros(n + 1, np.int64)

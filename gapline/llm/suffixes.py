@@ -3,9 +3,11 @@
 Anchored contexts that may repeat are gathered by anchor into shards of bounded size. Within a shard the suffixes of
 the contexts are put in order; previous and next smaller positions in that order give, for each position, the longest
 match with an earlier one (the longest previous factor), and the same from the other end the longest match with a
-later one. Contexts that occur more than once as a whole need no sorting: all but one of each stay out of the shards.
+later one. Contexts that occur more than once as a whole (by 128-bit digests of their text) need no sorting: all but one
+of each stay out of the shards.
 An anchor whose different contexts outgrow a shard has its windows dealt out by 128-bit hashes instead, packed, so that
-no anchor, however common, gathers in one task.
+no anchor, however common, gathers in one task. Among n different contexts or windows the chance that any two have one
+digest is below n ** 2 / 2 ** 129.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.anchors import Hashes, context_keys, covered, runs
+from gapline.llm.anchors import Hashes, covered, runs
 from gapline.llm.common import Cuts, col, mix, partitions, texts
-from gapline.llm.phrases import groups, hot_keys
+from gapline.llm.phrases import SALTS, groups, hot_keys
 
 GRAM = 96  #: bytes of an anchor
 AT_ONCE = 1 << 19  #: bytes laid end to end at a time, or one document
@@ -187,8 +190,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at = 0
             for group in groups(texts(b.column(1)), AT_ONCE, len):
                 h, begin, ends = laid_out(group)
-                r, hashes = runs(h, ends, window, gram, hot.value)
-                ch = context_keys(r, hashes, window)
+                r, _ = runs(h, ends, window, gram, hot.value)
+                size = r.count + window - 1
+                place = r.start - begin[r.doc]
                 cut = np.searchsorted(r.doc, np.arange(len(group) + 1))
                 good = r.moved.copy()
                 for k in range(len(group)):
@@ -196,21 +200,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     good[x:y] |= np.isin(r.key[x:y], np.array(akeys[at + k], np.int64).view(np.uint64))
                 n = len(group)
                 offsets = pa.array(np.r_[0, np.cumsum(good)][cut].astype(np.int32))
-                fields = [r.key.view(np.int64), ch.view(np.int64), r.start - begin[r.doc], r.count]
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(f[good])) for f in fields]
+                ch = [xxhash.xxh3_128_digest(group[d][p : p + c]) for d, p, c in zip(r.doc[good].tolist(), place[good].tolist(), size[good].tolist(), strict=True)]
+                fields = [pa.array(r.key[good].view(np.int64)), pa.array(ch, pa.binary()), pa.array(place[good]), pa.array(r.count[good])]
+                lists = [pa.ListArray.from_arrays(offsets, f) for f in fields]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), *lists], ["sha", "text", "akey", "ch", "start", "n"])
                 at += n
 
     code_kept = kept.select("sha", F.coalesce("id", F.lit(least_id)).alias("low"), "text")
     joined = code_kept.join(wanted, ["sha", "low"]).select("sha", "text", "akeys")
-    held = joined.mapInArrow(contexts, "sha string, text binary, akey array<long>, ch array<long>, start array<long>, n array<long>")
+    held = joined.mapInArrow(contexts, "sha string, text binary, akey array<long>, ch array<binary>, start array<long>, n array<long>")
     held = cuts.cut(held.dropDuplicates(["sha"]) if not each.groupBy("sha", "id").count().where("count > 1").isEmpty() else held)
     hits = held.select("sha", F.inline(F.arrays_zip("akey", "ch", "start", "n")))
     by_context = cuts.cut(hits.groupBy("akey", "ch").agg(F.count("*").alias("c"), F.min(F.struct("sha", "start", "n")).alias("x")))
     several = by_context.groupBy("akey").agg(F.count("*").alias("k"), F.sum(F.col("x.n") + window - 1).alias("bytes")).where("k > 1")
     several = several.select("akey", F.when(F.col("bytes") > spread, F.ceil(F.col("bytes") * 4 / spread)).otherwise(0).cast("int").alias("parts"))
     whole = hits.join(by_context.where("c > 1").select("akey", "ch"), ["akey", "ch"], "left_semi").select("sha", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
-    open_ = by_context.join(several, "akey").select("x.sha", F.struct("akey", "parts", "c", "x.start", "x.n").alias("x")).groupBy("sha").agg(F.collect_list("x").alias("xs"))
+    # An anchor may have very many contexts: they meet what is known of it in SALTS parts.
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    open_ = by_context.withColumn("salt", F.pmod(F.xxhash64("ch"), F.lit(SALTS)).cast("int")).join(several, ["akey", "salt"]).select("x.sha", F.struct("akey", "parts", "c", "x.start", "x.n").alias("x")).groupBy("sha").agg(F.collect_list("x").alias("xs"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
@@ -229,7 +236,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 order = np.argsort(part, kind="stable")
                 ends = np.searchsorted(part[order], np.arange(parts + 1))
                 for k in np.flatnonzero(np.diff(ends)):
-                    out.append({"akey": akey, "part": int(k) + 1, "shas": [h[0] for h in held], "cs": [h[4] for h in held], "windows": table[order[ends[k] : ends[k + 1]]].tobytes()})
+                    own = table[order[ends[k] : ends[k + 1]]]
+                    used, own[:, 2] = np.unique(own[:, 2], return_inverse=True)
+                    out.append({"akey": akey, "part": int(k) + 1, "shas": [held[u][0] for u in used], "cs": [held[u][4] for u in used], "windows": own.tobytes()})
             common.clear()
             if out:
                 yield pa.RecordBatch.from_pylist(out, PIECE_SCHEMA)
