@@ -1,9 +1,10 @@
 """Exact top-k by norm-bucketed retrieval.
 
-Each task puts its vectors into buckets of like length, longest first. For a query whose k-th score so far is known, a
-bucket's longest vector tells which cosine a vector of that bucket needs: over 1, the bucket and all after it are
+The longest vectors of all give each query a score that its k-th best reaches. Each task puts its vectors into buckets
+of like length, longest first, a batch at a time. For a query whose least score is known, a bucket's longest vector tells which cosine a vector of that bucket needs: over 1, the bucket and all after it are
 pruned by length; high, coordinates prune (a vector whose cosine is high must lie near the query in each coordinate);
-low, only the bucket's prefix of long enough vectors is looked at. What is left is verified by exact integer products.
+low, only the bucket's prefix of long enough vectors is looked at, for many queries at once. What is left is verified by
+exact integer products.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from gapline.llm.common import Cuts, col
 COORDINATE = 0.9  #: from this local cosine on, coordinates prune
 FOCUS = 3  #: coordinates looked at
 BUCKET = 4096  #: vectors of a bucket at most
+LONGEST = 1024  #: vectors that all queries meet first
+TOGETHER = 256  #: queries multiplied with a bucket at once
 RATIO = 1.05  #: longest to shortest of a bucket at most
 SAFE = 1e-9
 ROUNDED = 1e-6  #: of a coordinate; near a cosine of 1 an error of the local cosine counts as its square root
@@ -49,8 +52,31 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
+class Queries:
+    """Queries of one dimension: least is a score that the k-th best reaches at least, where `known`; found is the best so far."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, least: list[int | None], k: int):
+        self.ids, self.v, self.k = ids, v, k
+        self.norm = np.sqrt((v * v).sum(1))
+        self.known = np.array([x is not None for x in least], bool)
+        self.least = np.array([x or 0 for x in least], np.int64)
+        self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+
+    def add(self, n: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Merges candidates of query n, those below its least score left out."""
+        if self.known[n]:
+            near = scores >= self.least[n]
+            scores, ids = scores[near], ids[near]
+        if len(scores):
+            s, i = np.concatenate([self.found[n][0], scores]), np.concatenate([self.found[n][1], ids])
+            pick = best(s, i, self.k)
+            self.found[n] = s[pick], i[pick]
+            if len(pick) == self.k:
+                self.least[n], self.known[n] = max(self.least[n], s[pick[-1]]) if self.known[n] else s[pick[-1]], True
+
+
 class Buckets:
-    """A task's vectors of one dimension, by length."""
+    """Vectors of one dimension, by length."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray):
         length = np.sqrt((v * v).sum(1))
@@ -64,80 +90,104 @@ class Buckets:
             self.ends.append((at, max(end, at + 1)))
             at = self.ends[-1][1]
 
-    def search(self, qid: int, q: np.ndarray, k: int, scores: list, ids: list) -> None:
-        """Merges the query's best into scores and ids, best first."""
-        norm = math.sqrt(float((q * q).sum()))
+    def search(self, q: Queries) -> None:
+        """Merges each query's best into q, bucket after bucket; the local cosine of each query tells how it prunes there."""
         for lo, hi in self.ends:
-            full = len(scores) >= k
-            least = scores[k - 1] if full else None
-            longest = self.length[lo]
-            take = np.arange(lo, hi)
-            if full:
-                reach = norm * longest
-                if reach * (1 + SAFE) < least:
-                    break  # no vector from here on is long enough
-                local = float(least) / reach * (1 - 1e-12) if reach > 0 else -1.0
-                if local >= COORDINATE:
-                    unit = q / norm
-                    slack = math.sqrt(max(0.0, 1 - local * local))
-                    for f in np.argsort(-np.abs(unit))[:FOCUS]:
-                        c = self.v[take, f] / np.maximum(self.length[take], 1e-300)
-                        wide = slack * math.sqrt(max(0.0, 1 - unit[f] ** 2)) + ROUNDED
-                        # within the angle arccos(local) of the query, a coordinate may come to its pole, -1 or 1
-                        low = -1.0 if unit[f] <= -local else unit[f] * local - wide
-                        high = 1.0 if unit[f] >= local else unit[f] * local + wide
-                        take = take[(c >= low - ROUNDED) & (c <= high + ROUNDED)]
-                elif least > 0:
-                    take = take[: int(np.searchsorted(-self.length[lo:hi], -float(least) / norm * (1 - SAFE), "right"))]
-            take = take[self.ids[take] != qid]
-            if not len(take):
-                continue
-            s = products(q[None, :], self.v[take])[0]
-            if full:
-                near = s >= least
-                s, take = s[near], take[near]
-            s, i = np.concatenate([np.array(scores, s.dtype), s]), np.concatenate([np.array(ids, np.int64), self.ids[take]])
-            pick = best(s, i, k)
-            scores[:], ids[:] = s[pick].tolist(), i[pick].tolist()
-
-
-def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, every: int = 100, block: int = 4096) -> DataFrame:
+            reach = q.norm * self.length[lo]
+            open_ = ~(q.known & (reach * (1 + SAFE) < q.least))  # else no vector from here on is long enough
+            local = np.where(q.known & (reach > 0), q.least / np.where(reach > 0, reach, 1.0) * (1 - 1e-12), -1.0)
+            for n in np.flatnonzero(open_ & (local >= COORDINATE)):
+                take = self.alike(q.v[n] / q.norm[n], float(local[n]), lo, hi)
+                take = take[self.ids[take] != q.ids[n]]
+                if len(take):
+                    q.add(n, products(q.v[n : n + 1], self.v[take])[0], self.ids[take])
+            rest = np.flatnonzero(open_ & (local < COORDINATE))
+            for k in range(0, len(rest), TOGETHER):
+                some = rest[k : k + TOGETHER]
+                short = np.where(q.known[some] & (q.least[some] > 0) & (q.norm[some] > 0), q.least[some] / np.maximum(q.norm[some], 1e-300) * (1 - SAFE), -1.0)
+                end = lo + int(np.searchsorted(-self.length[lo:hi], -short.min(), "right"))
+                s = products(q.v[some], self.v[lo:end])
+                near = (s >= np.where(q.known[some], q.least[some], np.iinfo(np.int64).min)[:, None]) & (self.ids[lo:end] != q.ids[some][:, None])
+                for m in np.flatnonzero(near.any(1)):
+                    q.add(int(some[m]), s[m, near[m]], self.ids[lo:end][near[m]])
+
+    def alike(self, unit: np.ndarray, local: float, lo: int, hi: int) -> np.ndarray:
+        """Those of lo to hi that may be within the angle arccos(local) of unit, by a few coordinates."""
+        take = np.arange(lo, hi)
+        slack = math.sqrt(max(0.0, 1 - local * local))
+        for f in np.argsort(-np.abs(unit))[:FOCUS]:
+            c = self.v[take, f] / np.maximum(self.length[take], 1e-300)
+            wide = slack * math.sqrt(max(0.0, 1 - unit[f] ** 2)) + ROUNDED
+            # within that angle a coordinate may come to its pole, -1 or 1
+            low = -1.0 if unit[f] <= -local else unit[f] * local - wide
+            high = 1.0 if unit[f] >= local else unit[f] * local + wide
+            take = take[(c >= low - ROUNDED) & (c <= high + ROUNDED)]
+        return take
+
+
+def by_dimension(ids: np.ndarray, v: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, ids, matrix) of the vectors of each dimension."""
+    start, size = v.offsets.to_numpy()[:-1].astype(np.int64), np.diff(v.offsets.to_numpy())
+    flat = v.values.to_numpy(zero_copy_only=False)
+    for d in np.unique(size):
+        own = np.flatnonzero(size == d)
+        yield own, ids[own], flat[start[own][:, None] + np.arange(d)]
+
+
+def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, every: int = 100, block_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to the smaller vec_id.
 
     Queries are the rows whose id is divisible by every; candidates are all rows but those with the query's own id
     and those of another dimension; scores stay within a long. Vectors that are null or hold a null or non-finite component take no part. Rows
     repeated as a whole count once each as candidates and once together as a query; of several vectors with one query
-    id, the smallest is the query. Queries go out in blocks of at most block rows, each a pass over all candidates.
+    id, the smallest is the query. What the longest vectors score tells every query its least score first. Then queries
+    go out in blocks of about block_bytes, each a pass over all candidates; the driver holds one block at a time.
     """
+    if k < 1:
+        raise ValueError("k: 1 or more")
     spark = vectors.sparkSession
     cuts = Cuts(spark, "topk")
     all_ = cuts.cut(quantised(vectors, id_col, vector_col, scale))
-    asked = cuts.cut(all_.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")))
-    blocks = max(1, math.ceil(asked.count() / block * 1.1))
-    out = None
+    asked = all_.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    longest = all_.orderBy(length.desc(), "vec_id", "v").limit(LONGEST).toArrow().combine_chunks()
+    sent = spark.sparkContext.broadcast((longest.column(0).to_numpy(), longest.column(1).combine_chunks()))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {v.shape[1]: Buckets(i, v) for _, i, v in by_dimension(*sent.value)}
+        for b in batches:
+            out: list[int | None] = [None] * b.num_rows
+            for own, ids, v in by_dimension(b.column(0).to_numpy(), b.column(1)):
+                if v.shape[1] in known:
+                    q = Queries(ids, v, [None] * len(ids), k)
+                    known[v.shape[1]].search(q)
+                    for n, (scores, _) in zip(own, q.found, strict=True):
+                        out[n] = int(scores[-1]) if len(scores) == k else None
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], ["vec_id", "v", "least"])
+
+    asked = cuts.cut(asked.mapInArrow(least, "vec_id long, v array<double>, least long"))
+    blocks = max(1, -(-(asked.agg(F.sum(F.size("v") * 8 + 64)).first()[0] or 0) // block_bytes))
+    path = f"{cuts.base}/found"
+    schema = "query_id long, vec_id long, score long"
     for n in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).collect()
-        sent = spark.sparkContext.broadcast([(r.vec_id, np.array(r.v)) for r in mine])
+        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).toArrow().combine_chunks()
+        mine = spark.sparkContext.broadcast(tuple(c.combine_chunks() for c in block.columns))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            held: dict[int, tuple[list, list]] = {}
+        def run(batches: Iterator[pa.RecordBatch], mine=mine) -> Iterator[pa.RecordBatch]:
+            ids, v, least = mine.value
+            least = least.to_pylist()
+            asked = {m.shape[1]: Queries(i, m, [least[n] for n in own], k) for own, i, m in by_dimension(ids.to_numpy(), v)}
             for b in batches:
-                ids = b.column(0).to_numpy()
-                v = b.column(1)
-                size = np.diff(v.offsets.to_numpy())
-                flat = v.values.to_numpy(zero_copy_only=False)
-                start = v.offsets.to_numpy()[:-1]
-                for d in np.unique(size):
-                    own = np.flatnonzero(size == d)
-                    bucket = Buckets(ids[own], flat[(start[own][:, None] + np.arange(d)).astype(np.int64)])
-                    for n, (qid, q) in enumerate(sent.value):
-                        if len(q) == d:
-                            bucket.search(qid, q, k, *held.setdefault(n, ([], [])))
-            for n, (scores, ids) in held.items():
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array([sent.value[n][0]] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
-
-        part = all_.mapInArrow(run, "query_id long, vec_id long, score long")
-        out = part if out is None else out.union(part)
+                for _, i, m in by_dimension(b.column(0).to_numpy(), b.column(1)):
+                    if m.shape[1] in asked:
+                        Buckets(i, m).search(asked[m.shape[1]])
+            for q in asked.values():
+                some = [(i, s, f) for i, (s, f) in zip(q.ids.tolist(), q.found, strict=True) if len(s)]
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in some], [len(x[1]) for x in some])), pa.array(np.concatenate([x[2] for x in some])), pa.array(np.concatenate([x[1] for x in some]))], ["query_id", "vec_id", "score"])
+
+        all_.mapInArrow(run, schema).write.mode("append").parquet(path)
+        mine.unpersist()
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = spark.read.schema(schema).parquet(path)
+    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

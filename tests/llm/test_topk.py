@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from gapline.llm.topk import Buckets, best, products, top_k
+from gapline.llm.topk import Buckets, Queries, best, products, top_k
 
 
 def test_matches_brute_force_with_awkward_vectors(spark):
@@ -19,8 +19,8 @@ def test_matches_brute_force_with_awkward_vectors(spark):
     for q, v in queries.items():
         scores = sorted(((-max(min(sum(a * b for a, b in zip(v, c)), (1 << 63) - 1), -(1 << 63)), i) for i, c in good if i != q and len(c) == len(v)))[:10]
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
-    for block in (4096, 2):
-        assert sorted(map(tuple, top_k(df, block=block).collect())) == sorted(want)
+    for block in (1 << 20, 300):
+        assert sorted(map(tuple, top_k(df, block_bytes=block).collect())) == sorted(want)
     assert top_k(df.limit(0)).count() == 0
 
 
@@ -30,13 +30,15 @@ def test_search_is_exact_for_dominant_coordinates():
     sets += [np.array([[-950, 180, 180, 180], [-800, 346, 346, 346], [-1000, 0, 0, 0]]), np.r_[np.eye(4, dtype=int) * 1000, np.eye(4, dtype=int) * -1000, rng.integers(-300, 301, (200, 4))]]
     for v in (x.astype(float) for x in sets):
         ids = np.arange(len(v))
+        some = np.arange(min(len(v), 60))
         for size in (1, 7, len(v)):
-            for qid in range(min(len(v), 60)):
-                for k in (1, 5):
-                    scores, found = [], []
+            for k in (1, 5):
+                s = products(v[some], v)
+                s[some, some] = np.iinfo(np.int64).min
+                want = [best(x, ids, k)[: len(v) - 1] for x in s]
+                known = [int(x[w[-1]]) - 1 if len(w) == k else None for x, w in zip(s, want)]
+                for least in ([None] * len(some), known):
+                    q = Queries(some, v[some], least, k)
                     for at in range(0, len(v), size):
-                        Buckets(ids[at : at + size], v[at : at + size]).search(qid, v[qid], k, scores, found)
-                    s = products(v[qid][None, :], v)[0]
-                    other = ids[ids != qid]
-                    want = other[best(s[other], other, k)]
-                    assert found == want.tolist() and scores == s[want].tolist()
+                        Buckets(ids[at : at + size], v[at : at + size]).search(q)
+                    assert all(f[1].tolist() == w.tolist() and f[0].tolist() == x[w].tolist() for f, x, w in zip(q.found, s, want))
