@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import Cuts, col, texts, without_ids
+from gapline.llm.common import Cuts, col, partitions, texts, without_ids
 
 WORD_END = re.compile(rb"[#$%&*!|<>{}\[\]=+~^_\\](?=[\x20\x09-\x0D]|$)")
 BINS = 4096  #: of raw scores, for calibration
+GROUPS, LEVEL = 256, 4  #: of training rows that are summed one by one, and of those sums
+FOLDS = 4
 
 
 def statistics(t: bytes) -> list[float]:
@@ -82,24 +84,43 @@ def stack(b: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def sums(df: DataFrame, size: int, f) -> np.ndarray:
-    """The sum of f(batch), size numbers, over all of df: one vector per partition, added up in two levels."""
+    """The sum of f(batch), size numbers, over df, which dealt() has laid out: one vector per group, added up in two levels, always in the same order."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        now, total = None, np.zeros(size)
         for b in batches:
-            if b.num_rows:
-                total += f(b)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+            g = b.column(b.schema.get_field_index("g")).to_numpy()
+            at = np.r_[0, np.flatnonzero(np.diff(g)) + 1, len(g)] if len(g) else np.zeros(1, int)
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if now is not None and g[x] != now:
+                    yield vector(now, total)
+                    total = np.zeros(size)
+                now = int(g[x])
+                total = total + f(b.slice(x, y - x))
+        if now is not None:
+            yield vector(now, total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total, first = np.zeros(size), None
         for b in batches:
-            for v in b.column(0).to_pylist():
-                total += np.frombuffer(v)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+            for g, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                first = g % LEVEL if first is None else first
+                total = total + np.frombuffer(v)
+        if first is not None:
+            yield vector(first, total)
 
-    got = df.mapInArrow(part, "v binary").repartition(8).mapInArrow(add, "v binary").collect()
-    return np.sum([np.frombuffer(r.v) for r in got], axis=0)
+    def vector(g: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "v"])
+
+    each = df.mapInArrow(part, "g int, v binary").repartitionById(LEVEL, F.col("g") % LEVEL).sortWithinPartitions("g")
+    got = {r.g: np.frombuffer(r.v) for r in each.mapInArrow(add, "g int, v binary").collect()}
+    return sum((got[g] for g in sorted(got)), np.zeros(size))
+
+
+def dealt(train: DataFrame) -> DataFrame:
+    """train(id, stats, y) with group g and fold k, both by id, in an order that doesn't depend on how it came."""
+    g, k = F.pmod(F.xxhash64("id"), F.lit(GROUPS)).cast("int"), F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int")
+    return train.withColumns({"g": g, "k": k}).repartition(partitions(train.sparkSession), "g").sortWithinPartitions("g", "id", "stats")
 
 
 def isotonic(weight: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -115,14 +136,18 @@ def isotonic(weight: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(train: DataFrame, dim: int = 256, gamma: float = 0.02, ridge: float = 1e-4, seed: int = 7) -> Model:
-    """A model from train(stats, y), y 0 or 1. Without rows or with one label only, the score is that label's share (1 without rows)."""
+    """A model from train(id, stats, y), y 0 or 1. Without rows or with one label only, the score is that label's share (1 without rows).
+
+    The calibration is fitted to what each fold of the rows scores by the normal equations of the other folds.
+    """
     d = N_STATS
+    rows = dealt(train)
 
     def moments(b: pa.RecordBatch) -> np.ndarray:
         x = stack(b, "stats")
         return np.concatenate([[len(x)], x.sum(0), (x * x).sum(0), [b.column(b.schema.get_field_index("y")).to_numpy(zero_copy_only=False).sum()]])
 
-    s = sums(train, 2 * d + 2, moments)
+    s = sums(rows, 2 * d + 2, moments)
     n, positive = s[0], s[-1]
     mean = s[1 : d + 1] / max(n, 1)
     scale = np.sqrt(np.maximum(s[d + 1 : 2 * d + 1] / max(n, 1) - mean**2, 1e-12))
@@ -134,22 +159,30 @@ def fit(train: DataFrame, dim: int = 256, gamma: float = 0.02, ridge: float = 1e
     heavy = np.array([0.5 * n / (n - positive), 0.5 * n / positive])  # both labels weigh the same in the fit
 
     def normal(b: pa.RecordBatch) -> np.ndarray:
-        y = b.column(b.schema.get_field_index("y")).to_numpy(zero_copy_only=False).astype(np.int64)
+        y, k = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("y", "k"))
         z = model.fourier(stack(b, "stats"))
         zw = z * heavy[y][:, None]
-        return np.concatenate([(zw.T @ z).ravel(), zw.T @ y])
+        out = []
+        for fold in range(FOLDS):
+            own = k == fold
+            out += [(zw[own].T @ z[own]).ravel(), zw[own].T @ y[own], [own.sum()]]
+        return np.concatenate(out)
+
+    s = sums(rows, FOLDS * (size * size + size + 1), normal).reshape(FOLDS, -1)
+
+    def solve(t: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(t[: size * size].reshape(size, size) + ridge * max(t[-1], 1) * np.eye(size), t[size * size : -1])
 
-    s = sums(train, size * size + size, normal)
-    a = s[:-size].reshape(size, size)
-    model.beta = np.linalg.solve(a + ridge * n * np.eye(size), s[-size:])
+    model.beta = solve(s.sum(0))
+    others = [solve(s.sum(0) - s[fold]) for fold in range(FOLDS)]
 
     def binned(b: pa.RecordBatch) -> np.ndarray:
-        r = model.raw(stack(b, "stats"))
-        y = b.column(b.schema.get_field_index("y")).to_numpy(zero_copy_only=False)
-        k = np.clip(((r + 0.5) / 2 * BINS).astype(np.int64), 0, BINS - 1)
-        return np.concatenate([np.bincount(k, v, BINS) for v in (np.ones(len(k)), y, r)])
+        y, k = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("y", "k"))
+        r = (model.fourier(stack(b, "stats")) * np.array(others)[k]).sum(1)
+        at = np.clip(((r + 0.5) / 2 * BINS).astype(np.int64), 0, BINS - 1)
+        return np.concatenate([np.bincount(at, v, BINS) for v in (np.ones(len(at)), y, r)])
 
-    c, y, r = sums(train, 3 * BINS, binned).reshape(3, BINS)
+    c, y, r = sums(rows, 3 * BINS, binned).reshape(3, BINS)
     full = c > 0
     model.xs, model.ys = r[full] / c[full], np.clip(isotonic(c[full], y[full] / c[full]), 0, 1)
     order = np.argsort(model.xs, kind="stable")
@@ -158,11 +191,11 @@ def fit(train: DataFrame, dim: int = 256, gamma: float = 0.02, ridge: float = 1e
 
 
 def training(feats: DataFrame, labels: DataFrame, label_col: str, label_id: str, fold: bool) -> DataFrame:
-    """(stats, y) of the labelled rows outside the held-out fold. A doc_id with several labels takes their rounded mean; null labels are left out."""
+    """(id, stats, y) of the labelled rows outside the held-out fold. A doc_id with several labels takes their rounded mean; null labels are left out."""
     lab = labels.select(col(label_id).cast("long").alias("l"), col(label_col).cast("double").alias("q")).where("l is not null and q is not null")
     lab = lab.groupBy("l").agg(F.round(F.avg("q")).cast("int").alias("y")).where("y in (0, 1)")
     rows = feats.join(lab, feats.id == lab.l).select("id", "stats", "y")
-    return rows.where(F.crc32(F.col("id").cast("string")) % 5 != 0).select("stats", "y") if fold else rows.select("stats", "y")
+    return rows.where(F.crc32(F.col("id").cast("string")) % 5 != 0) if fold else rows
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id: str = "doc_id", threshold: float = 0.3, fold: bool = True, **how) -> DataFrame:
