@@ -20,6 +20,7 @@ from gapline.llm.common import Cuts, col, partitions, without
 
 Key = tuple[int, int]
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
+PROBES = 1 << 16  #: keys that a round asks for, over which splitters make do with fewer each
 
 
 def join_key(k: Key) -> int:
@@ -81,7 +82,7 @@ def split(keys: DataFrame, shards: int, fine: int, tolerance: float = 0.005, pro
 
     tolerance is of a shard's mean bytes for the shards' splitters, and of a partition's for the others. whole: rows with the same a stay in one
     shard, so a shard misses its share by at most half such a group. Bounds are exact functions of the rows, however
-    they are laid out.
+    they are laid out. The driver holds a few numbers for each partition and each of about PROBES probes.
     """
     per = max(1, -(-fine // shards))
     parts = shards * per
@@ -101,17 +102,17 @@ def split(keys: DataFrame, shards: int, fine: int, tolerance: float = 0.005, pro
     for _ in range(rounds):
         order = sorted(below)
         new: set[int] = set()
-        for j in wanted:
+        open_ = [j for j in wanted if min(abs(below[x] - wanted[j]) for x in around(j, order)) > slack[j]]
+        each = max(2, min(probes, PROBES // (2 * len(open_) + 1)))
+        for j in open_:
             lo, hi = around(j, order)
-            if min(abs(below[lo] - wanted[j]), abs(below[hi] - wanted[j])) <= slack[j]:
-                continue
             x, y = spans.get(lo, (lo, hi - 1))
             x = max(x, lo)
             if x > lo or y + 1 < hi:
                 below[x], below[y + 1] = below[lo], below[hi]
             if y > x:
                 share = (wanted[j] - below[lo]) / max(1, below[hi] - below[lo])
-                at = [share + (k - probes / 2) / probes**2 for k in range(probes + 1)] + [k / probes for k in range(1, probes)]
+                at = [share + (k - each / 2) / each**2 for k in range(each + 1)] + [k / each for k in range(1, each)]
                 new |= {x + 1 + int((y - x) * min(max(p, 0), 1) * (1 - 1e-12)) for p in at}
         new -= below.keys()
         if not new:

@@ -85,12 +85,14 @@ class Roll:
             self.out = None
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", part_bytes: int = 32 << 20, roll_bytes: int = 64 << 20, least: int = 100, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", part_bytes: int = 32 << 20, roll_bytes: int = 64 << 20, most_parts: int = 8192, least: int = 100, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes a record per row of pages under folder and returns the manifest (also written as <folder>/manifest).
 
     Of records with equal payloads of at least least bytes that with the smallest page_id is a response, the others
     revisit it. Null payloads are empty. Null ids come last; rows that share the smallest id (or have none) and the
-    payload make one response, the rest of them revisits. An empty table gives an empty manifest.
+    payload make one response, the rest of them revisits. An empty table gives an empty manifest. Parts hold about
+    part_bytes of records each, or more where that would make over most_parts of them: what the driver holds of their
+    splitters is bounded, and a part is a stream that is rolled by size whatever its own.
     """
     spark = pages.sparkSession
     cuts = Cuts(spark, "warc")
@@ -101,7 +103,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     facts = cuts.cut(rows.select("page_id", order.alias("a"), digest.alias("digest"), F.octet_length("payload").cast("long").alias("size")))
     copies = facts.where(F.col("size") >= least).groupBy("digest").agg(F.min("a").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
     sized = facts.select("a", F.xxhash64("digest").alias("b"), (F.col("size") + 400).alias("size"))
-    parts = max(1, -(-(sized.agg(F.sum("size")).first()[0] or 0) // part_bytes))
+    parts = max(1, min(most_parts, -(-(sized.agg(F.sum("size")).first()[0] or 0) // part_bytes)))
     splits = split(sized, parts, parts, tolerance=0.05, whole=False)
     # A mark per page with copies goes ahead of its payload rows, which so needn't be joined by digest.
     none = F.lit(None)

@@ -1,7 +1,11 @@
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
+from gapline.llm import sharding
 from gapline.llm.sharding import LOW, shard_documents, split
+from tests.conftest import SF
 from tests.llm.fixtures import documents, empty
 
 
@@ -39,3 +43,17 @@ def test_splitters_are_exact_and_do_not_depend_on_layout(spark):
         at[one.shard[sum(k <= (a, b) for k in one.bounds)]] += s
     assert all(abs(at[k] - total / 4) <= 0.005 * total / 4 + 14 for k in range(4))
     assert split(keys.limit(0), 4, 12).bounds == [] and LOW < 0
+
+
+@pytest.mark.parametrize("probes", [sharding.PROBES, 16])
+def test_shards_are_near_equal_in_bytes(spark, monkeypatch, probes):
+    monkeypatch.setattr(sharding, "PROBES", probes)
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    out = shard_documents(docs, 8, columns=["doc_id"]).collect()
+    sizes, groups = Counter(), Counter()
+    for r in out:
+        sizes[r.shard] += r.size
+        groups[r.text_crc32, r.size] += r.size
+    mean = sum(sizes.values()) / 8
+    assert len(out) == docs.count() and set(sizes) == set(range(8))
+    assert all(abs(n - mean) <= 0.005 * mean + max(groups.values()) for n in sizes.values())

@@ -53,3 +53,10 @@ def test_a_changed_file_is_noticed_and_strays_are_not_read(spark, tmp_path):
     whole.write_bytes(whole.read_bytes()[:-40])
     with pytest.raises(Exception):  # noqa: B017
         read_warc(spark, f"file://{tmp_path}/w").collect()
+
+
+def test_very_long_payloads_and_few_parts(spark, tmp_path):
+    long = "ä" * 3_000_000
+    df = spark.createDataFrame([(i, "u", long if i % 3 else f"{long}{i % 2}") for i in range(8)], "page_id long, url string, html string")
+    out = round_trip(df, f"file://{tmp_path}/w", part_bytes=1 << 20, most_parts=2)
+    assert Counter(map(tuple, out.collect())) == want(df.collect())
