@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -11,21 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapline.sources.store import shared_dir
+
 
 def col(name: str) -> Column:
     """A column by its exact name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one is set only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="gapline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gapline/{name}-{uuid.uuid4().hex}"
 
@@ -35,11 +28,27 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_cut: list[str] = []  #: folders of tables that this process has cut and not deleted
+
+
+@contextlib.contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that operators have cut within it: what is returned must have been written by then."""
+    before = len(_cut)
+    try:
+        yield
+    finally:
+        for path in _cut[before:]:
+            delete(spark, path)
+        del _cut[before:]
+
+
 class Cuts:
     """Written tables that cut lineage: a lost executor costs a reread, not a recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, new_path(spark, name), 0
+        _cut.append(self.base)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -47,8 +56,9 @@ class Cuts:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        delete(self.spark, self.base)
+    def drop(self, n: int | None = None) -> None:
+        """Deletes the n-th table, or all."""
+        delete(self.spark, self.base if n is None else f"{self.base}/{n}")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -104,6 +114,7 @@ def components(cuts: Cuts, edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, large.a == low.u)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select(F.col("u"), F.col("m"))).distinct()
         two = cuts.cut(small)
+        cuts.drop(cuts.n - 1)
         now = two.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return two.select(F.col("a").alias("node"), F.col("b").alias("root"))
