@@ -20,7 +20,7 @@ from gapline.llm.common import Cuts, bloom_filter, col, components, forest, in_f
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 SMALL = 64  #: pairs of nodes with at most so many pairs of fingerprints are compared directly
-UNIT_BYTES = 8 << 20  #: of shingle sets, and 640 for each, in a chunk of a candidate group; a task compares two chunks at most
+UNIT_BYTES = 8 << 20  #: of shingle sets, and 640 for each, in a chunk of a candidate group; two chunks at most are compared at a time
 CHUNK = 1 << 18  #: pairs of nodes expanded at a time
 
 
@@ -177,11 +177,11 @@ def band_keys(grams: list[bytes], bands: int, rows: int) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-def similar_links(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def similar_links(sets: list[np.ndarray], side: np.ndarray, similarity: float, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs that link all sets of distinct values with a Jaccard similarity of at least similarity, as a spanning forest.
 
-    Where side holds both 0 and 1, only pairs of one set of each are looked at. Every pair whose sizes allow it is
-    compared exactly, unless its sets are linked already.
+    Where side holds both 0 and 1, no two sets of side 0 are compared, and where it holds 2 too, no two of one side. Every other pair
+    whose sizes allow it is compared exactly, unless its sets are linked already; sets of one label are so from the start.
     """
     size = np.array([len(x) for x in sets])
     order = np.argsort(size, kind="stable")
@@ -189,12 +189,14 @@ def similar_links(sets: list[np.ndarray], side: np.ndarray, similarity: float) -
     flat = np.unique(np.concatenate([sets[n] for n in order]), return_inverse=True)[1]
     start = np.r_[0, np.cumsum(size)]
     mark = np.zeros(flat.max(initial=-1) + 1, np.int8)
-    label, across = np.arange(len(sets)), len(np.unique(side)) > 1
+    label = np.arange(len(sets)) if label is None else np.unique(label[order], return_inverse=True)[1]
+    kinds = set(side.tolist())
+    alone = {k for k in kinds if 2 in kinds or (k == 0 and 1 in kinds)}  # sides within which nothing is compared
     out = []
     for n in range(len(sets) - 1):
         end = int(np.searchsorted(size * similarity, size[n] + 1e-9, "right"))
         other = label[n + 1 : end] != label[n]
-        if across:
+        if int(side[n]) in alone:
             other &= side[n + 1 : end] != side[n]
         to = n + 1 + np.flatnonzero(other)
         if not len(to):
@@ -222,7 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows MinHash values of their shingle sets: whatever the edit, scattered words or a whole block, a pair of
     similarity s is missed with a probability of about (1 - s**rows)**bands, with the defaults 1.2e-7 at 0.8 and less
     above. Groups that candidates link are compared pair by pair on exact shingle sets, but for pairs that others link
-    already, so no pair below the threshold is ever linked. n_rows counts the rows of the doc_id. Texts without words
+    already, so no pair below the threshold is ever linked. A group of many chunks is first compared chunk by chunk with
+    one of them; then what isn't in its largest class is compared with all of it. n_rows counts the rows of the doc_id. Texts without words
     form one class. Rows with a null id stand alone (component_id null).
     """
     spark = docs.sparkSession
@@ -264,30 +267,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     held = kept.where("id is not null").select("id", "text").mapInArrow(sets, "id long, s binary")
     held = cuts.cut(held.join(groups, held.id == groups.node).select("id", "s", "root").dropDuplicates(["id"]))
-    # A group in chunks c: a task compares chunk c with chunk d, for each c <= d; mostly there is one chunk.
-    chunks = held.groupBy("root").agg(F.ceil(F.sum(F.octet_length("s") + 640) / UNIT_BYTES).cast("int").alias("chunks"))
-    own = held.join(chunks, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    own = own.select("root", "own", "id", "s", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    units = own.select("root", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "own", "id", "s")
-
-    def links(unit: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+    # A group in chunks: a task compares one with itself and with the group's chunk 0; mostly there is one chunk.
+    size = F.octet_length("s") + 640
+    chunks = cuts.cut(held.groupBy("root").agg(F.ceil(F.sum(size) / UNIT_BYTES).cast("int").alias("chunks")))
+    chunk = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    own = held.join(chunks, "root").withColumn("c", chunk("chunks"))
+    none = F.lit(None).cast("long").alias("label")
+    first = own.where("c = 0 and chunks > 1").select("root", F.explode(F.sequence(F.lit(1), F.col("chunks") - 1)).alias("c"), F.lit(0).alias("d"), F.lit(0).alias("side"), "id", "s", none)
+    units = own.select("root", "c", F.lit(0).alias("d"), F.lit(1).alias("side"), "id", "s", none).union(first)
+
+    def links(unit: list[tuple]) -> list[tuple[int, int]]:
         ids, side = [u[1] for u in unit], np.array([u[0] for u in unit])
-        return [(ids[x], ids[y]) for x, y in similar_links([np.frombuffer(u[2], np.uint64) for u in unit], side, similarity)]
+        label = None if unit[0][3] is None else np.array([u[3] for u in unit])
+        return [(ids[x], ids[y]) for x, y in similar_links([np.frombuffer(u[2], np.uint64) for u in unit], side, similarity, label)]
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, unit = None, []
         for b in itertools.chain(batches, [None]):
             good = []
-            for root, c, d, side, id_, v in zip(*(x.to_pylist() for x in b.columns), strict=True) if b is not None else [(None,) * 6]:
+            for root, c, d, side, id_, v, label in zip(*(x.to_pylist() for x in b.columns), strict=True) if b is not None else [(None,) * 7]:
                 if (root, c, d) != now:
                     good += links(unit) if len(unit) > 1 else []
                     now, unit = (root, c, d), []
                 if v:
-                    unit.append((side, id_, v))
+                    unit.append((side, id_, v, label))
             yield pa.RecordBatch.from_arrays([pa.array([g[n] for g in good], pa.int64()) for n in (0, 1)], ["a", "b"])
 
-    good = units.repartition(partitions(spark), "root", "c", "d").sortWithinPartitions("root", "c", "d").mapInArrow(within, "a long, b long")
+    def compared(units: DataFrame) -> DataFrame:
+        return cuts.cut(units.repartition(partitions(spark), "root", "c", "d").sortWithinPartitions("root", "c", "d", "side", "id").mapInArrow(within, "a long, b long"))
+
+    good = compared(units)
     roots = components(cuts, good)
+    if not chunks.where("chunks > 1").isEmpty():
+        # What of a group in several chunks isn't in its largest class so far meets the whole group, but for its own class.
+        large = held.join(chunks.where("chunks > 1"), "root").join(roots.withColumnRenamed("root", "label"), held.id == roots.node, "left")
+        large = cuts.cut(large.select("root", "chunks", "id", "s", F.coalesce("label", "id").alias("label")))
+        most = large.groupBy("root", "label").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("n")).where("n > 1")
+        rest = large.join(most.select("root", "main"), "root").where("label <> main")
+        parts = rest.groupBy("root").agg(F.ceil(F.sum(size) / UNIT_BYTES).cast("int").alias("parts"))
+        to = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c")
+        asked = rest.join(parts, "root").select("root", to, chunk("parts").alias("d"), F.lit(0).alias("side"), "id", "s", "label")
+        every = large.join(parts, "root").select("root", chunk("chunks").alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("d"), F.lit(2).alias("side"), "id", "s", "label")
+        roots = components(cuts, good.union(compared(asked.union(every))))
     reps = low.join(roots, low.rep == roots.node, "left").select("cls", F.coalesce("root", "rep").alias("component_id"))
     out = each.groupBy("id", "cls").agg(F.count("*").alias("n_rows")).join(reps, "cls")
     return out.groupBy(F.col("id").alias("doc_id")).agg(F.min("component_id").alias("component_id"), F.sum("n_rows").alias("n_rows"))

@@ -1,8 +1,12 @@
+import itertools
+from collections import Counter, defaultdict
+
 import numpy as np
 import xxhash
 
 from gapline.llm.common import shingles, words
 from gapline.llm.simhash import hamming_links, keep_one, near_duplicates, node_pairs, similar_links, simhash, simhash_components
+from tests.conftest import SF
 from tests.llm.fixtures import documents, empty
 
 
@@ -93,8 +97,34 @@ def test_near_duplicates_find_every_variant_of_a_text(spark, monkeypatch):
     assert all(0.8 <= jaccard(t, texts[150]) for t in texts) and jaccard(texts[0], texts[1]) < 0.8
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.component_id for r in near_duplicates(docs).collect()} == {0}
-    monkeypatch.setattr("gapline.llm.simhash.UNIT_BYTES", 400_000)
-    assert {r.component_id for r in near_duplicates(docs).collect()} == {0}
+    for size in (400_000, 60_000):
+        monkeypatch.setattr("gapline.llm.simhash.UNIT_BYTES", size)
+        assert {r.component_id for r in near_duplicates(docs).collect()} == {0}
+
+
+def test_shuffled_words_do_not_hide_a_near_copy(spark):
+    w = [f"w{i}" for i in range(120)]
+    mixed = [w[(i * 37 + 11) % 120] for i in range(120)]
+    texts = [w, mixed, [*mixed[:-2], mixed[-1], mixed[-2]]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 1}
+
+
+def test_near_duplicates_of_a_corpus_match_brute_force(spark):
+    """All pairs of sf0.01 by an index of shingles: every pair of similarity 0.8 or more is in one group, and groups are no larger than their links make them."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").collect()]
+    sets = [set(shingles(words((t or "").encode()), 5)) for _, t in rows]
+    index = defaultdict(list)
+    for n, x in enumerate(sets):
+        for g in x:
+            index[g].append(n)
+    shared = Counter(p for own in index.values() if len(own) > 1 for p in itertools.combinations(own, 2))
+    pairs = {(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
+    empty_ = [n for n, x in enumerate(sets) if not x]
+    pairs |= set(zip(empty_, empty_[1:]))
+    comp = brute([(d, n) for n, (d, _) in enumerate(rows)], lambda x, y: (y[1], x[1]) in pairs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(pairs) > 50 and {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == dict(zip([d for d, _ in rows], comp))
 
 
 def test_similar_links_match_brute_force():
@@ -102,8 +132,9 @@ def test_similar_links_match_brute_force():
     base = [rng.choice(500, n, replace=False) for n in (1, 2, 9, 10, 40, 200)]
     sets = [np.unique(np.r_[rng.permutation(b)[: max(1, int(len(b) * rng.uniform(0.7, 1)))], rng.choice(500, int(len(b) * rng.uniform(0, 0.2)))]).astype(np.uint64) for b in base for _ in range(30)]
     near = lambda x, y: len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
-    for side in (np.zeros(len(sets), int), rng.integers(0, 2, len(sets))):
-        some = lambda x, y: near(x[1][1], y[1][1]) and (side.max() == 0 or x[1][0] != y[1][0])
+    for side in (np.zeros(len(sets), int), rng.integers(0, 2, len(sets)), rng.choice([0, 2], len(sets))):
+        apart = {0: (), 1: (0,), 2: (0, 2)}[side.max()]  # sides within which nothing is compared
+        some = lambda x, y: near(x[1][1], y[1][1]) and not (x[1][0] == y[1][0] and x[1][0] in apart)
         rows = list(enumerate(zip(side, sets)))
         links = set(similar_links(sets, side, 0.8))
         assert all(near(sets[a], sets[b]) for a, b in links)
