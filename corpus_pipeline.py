@@ -1,4 +1,11 @@
-"""A corpus pipeline: quality, near duplicates, benchmark leaks, source mix, shards."""
+"""A corpus pipeline: quality, near duplicates, benchmark leaks, source mix, shards.
+
+Rows are judged by their texts and ids: null and empty texts are scored as the empty text, and all of them are one group
+of near duplicates. Rows without an id pass the first three stages. Rows that share an id go together where one of them
+is rejected or holds a benchmark item; of rows that repeat the id that stays in a group, one stays. Columns of documents
+are kept whatever their names, but for those that the last stage adds (size, text_crc32, law, shard, slot, grown_shard),
+which replace columns so named. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapline.llm.common import new_path
+from gapline.llm.common import delete, job, new_path
 from gapline.llm.decontaminate import decontaminate
 from gapline.llm.mixing import mixed_documents
 from gapline.llm.quality import keep_good
@@ -46,10 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each stage's rows are written to the shared folder and read again, and what only earlier stages needed is deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with job(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
