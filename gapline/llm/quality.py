@@ -15,8 +15,8 @@ from gapline.llm.common import Cuts, col, partitions, texts, without_ids
 
 WORD_END = re.compile(rb"[#$%&*!|<>{}\[\]=+~^_\\](?=[\x20\x09-\x0D]|$)")
 BINS = 4096  #: of raw scores, for calibration
-GROUPS, LEVEL = 256, 4  #: of training rows that are summed one by one, and of those sums
-FOLDS = 4
+TREE = 8  #: vectors that are added up in one task
+FOLDS = 2
 
 
 def statistics(t: bytes) -> list[float]:
@@ -84,9 +84,12 @@ def stack(b: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def sums(df: DataFrame, size: int, f) -> np.ndarray:
-    """The sum of f(batch), size numbers, over df, which dealt() has laid out: one vector per group, added up in two levels, always in the same order."""
+    """The sum of f(batch), size numbers, over df, which dealt() has laid out: a vector for each group, then TREE of them at a time, always in the same order."""
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vector(g: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "v"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(size)
         for b in batches:
             g = b.column(b.schema.get_field_index("g")).to_numpy()
@@ -101,26 +104,25 @@ def sums(df: DataFrame, size: int, f) -> np.ndarray:
             yield vector(now, total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, first = np.zeros(size), None
+        total, to = np.zeros(size), None
         for b in batches:
             for g, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                first = g % LEVEL if first is None else first
-                total = total + np.frombuffer(v)
-        if first is not None:
-            yield vector(first, total)
-
-    def vector(g: int, total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "v"])
+                to, total = g // TREE, total + np.frombuffer(v)
+        if to is not None:
+            yield vector(to, total)
 
-    each = df.mapInArrow(part, "g int, v binary").repartitionById(LEVEL, F.col("g") % LEVEL).sortWithinPartitions("g")
-    got = {r.g: np.frombuffer(r.v) for r in each.mapInArrow(add, "g int, v binary").collect()}
-    return sum((got[g] for g in sorted(got)), np.zeros(size))
+    left, got = partitions(df.sparkSession), df.mapInArrow(each, "g int, v binary")
+    while left > TREE:
+        left = -(-left // TREE)
+        got = got.repartitionById(left, F.expr(f"g div {TREE}").cast("int")).sortWithinPartitions("g").mapInArrow(add, "g int, v binary")
+    return sum((np.frombuffer(r.v) for r in sorted(got.collect(), key=lambda r: r.g)), np.zeros(size))
 
 
 def dealt(train: DataFrame) -> DataFrame:
-    """train(id, stats, y) with group g and fold k, both by id, in an order that doesn't depend on how it came."""
-    g, k = F.pmod(F.xxhash64("id"), F.lit(GROUPS)).cast("int"), F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int")
-    return train.withColumns({"g": g, "k": k}).repartition(partitions(train.sparkSession), "g").sortWithinPartitions("g", "id", "stats")
+    """train(id, stats, y) with group g, one for each of the session's partitions, and fold k, both by id, in an order that doesn't depend on how it came."""
+    n = partitions(train.sparkSession)
+    g, k = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int")
+    return train.withColumns({"g": g, "k": k}).repartitionById(n, F.col("g")).sortWithinPartitions("g", "id", "stats")
 
 
 def isotonic(weight: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -156,6 +158,7 @@ def fit(train: DataFrame, dim: int = 256, gamma: float = 0.02, ridge: float = 1e
     if not n or positive in (0, n):
         return model
     size = dim + d + 1
+    upper = np.triu_indices(size)
     heavy = np.array([0.5 * n / (n - positive), 0.5 * n / positive])  # both labels weigh the same in the fit
 
     def normal(b: pa.RecordBatch) -> np.ndarray:
@@ -165,13 +168,15 @@ def fit(train: DataFrame, dim: int = 256, gamma: float = 0.02, ridge: float = 1e
         out = []
         for fold in range(FOLDS):
             own = k == fold
-            out += [(zw[own].T @ z[own]).ravel(), zw[own].T @ y[own], [own.sum()]]
+            out += [(zw[own].T @ z[own])[upper], zw[own].T @ y[own], [own.sum()]]
         return np.concatenate(out)
 
-    s = sums(rows, FOLDS * (size * size + size + 1), normal).reshape(FOLDS, -1)
+    s = sums(rows, FOLDS * (len(upper[0]) + size + 1), normal).reshape(FOLDS, -1)
 
     def solve(t: np.ndarray) -> np.ndarray:
-        return np.linalg.solve(t[: size * size].reshape(size, size) + ridge * max(t[-1], 1) * np.eye(size), t[size * size : -1])
+        a = np.zeros((size, size))
+        a[upper] = t[: len(upper[0])]
+        return np.linalg.solve(a + np.triu(a, 1).T + ridge * max(t[-1], 1) * np.eye(size), t[len(upper[0]) : -1])
 
     model.beta = solve(s.sum(0))
     others = [solve(s.sum(0) - s[fold]) for fold in range(FOLDS)]
