@@ -251,6 +251,13 @@ def _records(s: SparkSession, d: str) -> DataFrame:
     return codec.decode(store.restore(s.read.parquet(folder)))
 
 
+def _idx(s: SparkSession, d: str) -> DataFrame:
+    """Postings of the view line, whose lists are numbered from 0, that went through record files and back."""
+    folder = store.scratch(s, "idx")
+    store.save_idx(build(keyed("line")(s, d).withColumn("list_id", F.col("list_id") - 1)), folder)
+    return codec.decode(store.load_idx(s, folder))
+
+
 def _collection(s: SparkSession, d: str) -> str:
     """Collection files of the view line, whose lists are numbered from 0."""
     folder = store.scratch(s, "collection")
@@ -374,6 +381,7 @@ def queries() -> dict[str, Query]:
     q["and_over_index"], q["or_over_index"] = _over_index("and"), _over_index("or")
     q["and_over_gap128"], q["or_over_gap128"] = _baseline("and"), _baseline("or")
     q["index_stored_lists"], q["records_roundtrip"] = _stored, _records
+    q["idx_roundtrip"] = _idx
     q["docs_roundtrip"] = lambda s, d: collections.read_docs(s, _collection(s, d))
     q["docs_meta"] = lambda s, d: collections.read_meta(s, _collection(s, d))
     q["queries_roundtrip"] = _query_file
@@ -442,6 +450,7 @@ FROM (SELECT sum(n)::BIGINT AS n, sum((n * width + 31) // 32 * 4 + 8)::BIGINT AS
     o["and_over_index"], o["or_over_index"] = o["and_2"], o["or_2"]
     o["index_stored_lists"] = f"SELECT * FROM ({keyed_sql('supp')}) WHERE list_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)"
     o["records_roundtrip"] = keyed_sql("qty")
+    o["idx_roundtrip"] = f"SELECT list_id - 1 AS list_id, pos, doc_id FROM ({keyed_sql('line')})"
     o["docs_roundtrip"] = f"SELECT list_id - 1 AS list_id, pos, doc_id FROM ({keyed_sql('line')})"
     o["docs_meta"] = f"SELECT max(doc_id) + 1 AS universe_size, count(DISTINCT list_id) AS n_lists, count(*) AS n_postings FROM ({line})"
     o["queries_roundtrip"] = "SELECT query_id, string_agg(list_id::VARCHAR, ' ' ORDER BY list_id) AS terms FROM (" + views.queries_sql("qty", 4) + ") GROUP BY query_id"

@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gapline.operators.fit import CHUNK
+from gapline.sources.collections import opened
 
 BUCKETS = 64
 
@@ -147,3 +148,61 @@ def restore(records: DataFrame) -> DataFrame:
 
     schema = ", ".join(f"{c} bigint" for c in ("list_id", "block_id", "epsilon", "first", *FIELDS))
     return records.select("list_id", "block_id", "start", "record").mapInArrow(run, f"{schema}, residuals array<bigint>")
+
+
+def save_idx(segments: DataFrame, folder: str, parted: bool = True) -> None:
+    """Lists 0 .. n - 1 as record files, <list>_<block>.idx (or <list>.idx, not parted, of one block each), and the header idx.size.
+
+    The header holds the number of keys (64 bits) and of lists (32), and, parted, the blocks of each list (64 each). A file is one
+    block's record; each is written under a temporary name and then renamed, so a repeated attempt gives the same file.
+    """
+    own = F.struct("first", *FIELDS, "residuals")
+    place = F.row_number().over(Window.partitionBy("list_id").orderBy("block_id")) - 1
+    blocks = segments.groupBy("list_id", "block_id", "epsilon").agg(F.array_sort(F.collect_list(own)).alias("s"), F.sum("covered").alias("n"))
+    blocks = blocks.withColumn("j", place.cast("bigint"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(folder)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            for i, j, epsilon, s in zip(*(b.column(c).to_pylist() for c in ("list_id", "j", "epsilon", "s")), strict=True):
+                if j and not parted:
+                    raise ValueError(f"list {i} has several blocks")
+                put(store, f"{base}/{i}_{j}.idx" if parted else f"{base}/{i}.idx", [record(epsilon, s)])
+            yield b.select(["list_id", "n"])
+
+    sizes = blocks.mapInArrow(write, "list_id bigint, n bigint").groupBy("list_id").agg(F.count("*").alias("blocks"), F.sum("n").alias("n"))
+
+    def header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(folder)
+        ids, blocks, n = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(([], [], []), *((b.column(k).to_numpy() for k in range(3)) for b in batches), strict=True))
+        if not np.array_equal(ids, np.arange(len(ids))):
+            raise ValueError("lists aren't numbered from 0 without gaps")
+        put(store, f"{base}/idx.size", [struct.pack("<QI", int(n.sum()), len(ids)), blocks.astype("<u8").tobytes() if parted else b""])
+        yield pa.RecordBatch.from_arrays([pa.array([len(ids)])], ["lists"])
+
+    sizes.repartition(1).sortWithinPartitions("list_id").mapInArrow(header, "lists bigint").collect()
+
+
+def put(store, path: str, data: list[bytes]) -> None:
+    temp = f"{path}.{uuid.uuid4().hex}"
+    with store.open_output_stream(temp) as out:
+        for x in data:
+            out.write(x)
+    store.move(temp, path)
+
+
+def load_idx(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments of save_idx's files, less first_value and last_value; block_id counts the blocks of a list. Files that the header doesn't name, or lacks, are an error."""
+    name = F.regexp_extract_all(F.element_at(F.split("path", "/"), -1), F.lit("[0-9]+"), F.lit(0))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.idx").load(folder)
+    files = files.select(F.element_at(name, 1).cast("bigint").alias("list_id"), F.coalesce(F.get(name, F.lit(1)), F.lit("0")).cast("bigint").alias("block_id"), F.col("content").alias("record"))
+    sizes = files.select("list_id", "block_id", F.expr("cast(conv(hex(reverse(substring(record, 5, 8))), 16, 10) as bigint)").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("list_id").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("list_id", "block_id", F.coalesce(before, F.lit(0)).alias("start"))
+    head = spark.read.format("binaryFile").load(f"{folder}/idx.size").first().content
+    total, lists = struct.unpack_from("<QI", head)
+    found = sizes.agg(F.sum("n").alias("n"), F.count_distinct("list_id").alias("lists")).first()
+    if (found.n or 0, found.lists) != (total, lists):
+        raise ValueError(f"{folder}: the header has {lists} lists of {total} keys, the files {found.lists} of {found.n}")
+    return restore(files.join(starts, ["list_id", "block_id"]))

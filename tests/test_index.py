@@ -135,3 +135,23 @@ def test_next_geq_over_far_ranges(spark):
     want = [(i, x, min((d for d in (lists[i] if i < 3 else []) if d >= x), default=None)) for i in range(4) for x in xs]
     for got in (search.next_geq(k, probes), search.seek_segments(build(k, 7), probes), search.seek_gaps(gaps.encode(k), probes)):
         assert sorted(map(tuple, got.select("list_id", "x", "doc_id").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_record_files(spark, tmp_path):
+    k = keyed(spark, LISTS)
+    want = sorted(map(tuple, k.collect()))
+    for name, how, parted in (("a", {}, True), ("b", {"epsilon": 15}, False)):
+        store.save_idx(build(k, **how), f"file://{tmp_path}/{name}", parted)
+        assert sorted(map(tuple, codec.decode(store.load_idx(spark, f"file://{tmp_path}/{name}")).collect())) == want
+    assert (tmp_path / "a" / "6_1.idx").exists() and (tmp_path / "b" / "6.idx").exists()
+    assert (tmp_path / "b" / "idx.size").read_bytes() == len(want).to_bytes(8, "little") + len(LISTS).to_bytes(4, "little")
+    store.save_idx(build(keyed(spark, LISTS[:1]), 1), f"file://{tmp_path}/g", False)
+    head = (tmp_path / "g" / "0.idx").read_bytes()
+    # epsilon, keys, segments, widths; then words of covered 4, delta_y 32, delta_x 3, y_b 9, x_b 0; magnitudes 1, 0, 0, 1 in a bit each, and signs
+    words = [(1, 4), (1, 32), (1, 3), (1, 9), (0, None), (1, 0b1001)]
+    expected = (1).to_bytes(4, "little") + (4).to_bytes(8, "little") + (1).to_bytes(4, "little") + bytes([3, 6, 2, 4, 0])
+    expected += b"".join(n.to_bytes(8, "little") + (v.to_bytes(8, "little") if n else b"") for n, v in words)
+    assert head == expected + (4).to_bytes(8, "little") + bytes([0b1000])
+    (tmp_path / "b" / "6.idx").unlink()
+    with pytest.raises(ValueError):
+        store.load_idx(spark, f"file://{tmp_path}/b")
