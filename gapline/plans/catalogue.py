@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapline.functions.columns import doubles, fill_ones, unzigzag, zigzag
-from gapline.operators import codec, gaps, partition, search, stats, validate
+from gapline.operators import codec, gaps, partition, patched, search, stats, validate
 from gapline.plans.index import build
 from gapline.sources import collections, store, views
 from gapline.streaming import incremental
@@ -348,6 +348,7 @@ def queries() -> dict[str, Query]:
     q["decode_auto_optimal"] = _decode("event_type", method="optimal", m=4)
     q["decode_auto_pfor"] = lambda s, d: codec.decode_codes(codec.delta_codes(_index("line", variant="pfor")(s, d)))
     q["decode_token"] = _decode("token", epsilon=63)
+    q["decode_patched"] = lambda s, d: codec.decode(patched.expand(patched.compress(_index("line", variant="pfor")(s, d))))
     q["verify_mismatches"] = lambda s, d: validate.mismatches(views.cust(s, d), codec.decode(build(keyed("cust")(s, d), 31)))
     q["residual_bound"] = _invariants
     q["segment_widths"] = lambda s, d: codec.index_sizes(_index("cust", epsilon=511)(s, d)).drop("sign_bytes", "correction_bytes", "segment_bytes", "total_bytes")
@@ -418,6 +419,7 @@ FROM (SELECT *, doc_id - lag(doc_id) OVER (PARTITION BY list_id ORDER BY pos) AS
     o["blocks_greedy"], o["blocks_optimal"] = tile_sql("event_type"), tile_sql("line")
     for name, v in {"fixed_eps1": "supp", "fixed_eps15": "supp", "fixed_eps63": "qty", "fixed_eps255": "qty", "auto_none": "line", "auto_optimal": "event_type", "auto_pfor": "line", "token": "token"}.items():
         o[f"decode_{name}"] = keyed_sql(v)
+    o["decode_patched"] = keyed_sql("line")
     o["verify_mismatches"] = f"SELECT DISTINCT list_id, 0::BIGINT AS n_unequal FROM ({views.SQL['cust']})"
     o["residual_bound"] = f"SELECT list_id, count(*) AS n, 0::BIGINT AS over, 0::BIGINT AS odd FROM ({views.SQL['qty']}) GROUP BY list_id"
     o["zigzag_roundtrip"] = f"SELECT DISTINCT x, CASE WHEN x >= 0 THEN 2 * x ELSE -2 * x - 1 END AS z, x AS back FROM (SELECT list_id - doc_id AS x FROM ({views.SQL['supp']}))"

@@ -230,14 +230,14 @@ def write_docs(keyed: DataFrame, path: str, universe: int, files: int = 1) -> No
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, terms): a query per line, whole numbers up to the first word that isn't one, sorted and distinct; query_id is the line's number.
+    """(query_id, terms): a query per line, whole numbers up to the first word that isn't one, sorted and distinct.
 
-    Lines are numbered within their file, so a path should name one file.
+    query_id counts lines, on from file to file in order of path where path names several.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 out = []
                 for line in (text or b"").decode().splitlines():
                     terms: set[int] = set()
@@ -246,9 +246,13 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
                             break
                         terms.add(int(w))
                     out.append(sorted(terms))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out, pa.list_(pa.int64()))], ["query_id", "terms"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), pa.array(np.arange(len(out))), pa.array(out, pa.list_(pa.int64()))], ["path", "line", "terms"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "query_id bigint, terms array<bigint>")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    lines = files.mapInArrow(run, "path string, line bigint, terms array<bigint>")
+    before = F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    base = lines.groupBy("path").agg(F.count("*").alias("n")).select("path", F.coalesce(before, F.lit(0)).alias("base"))
+    return lines.join(F.broadcast(base), "path").select((F.col("base") + F.col("line")).alias("query_id"), "terms")
 
 
 def write_queries(queries: DataFrame, path: str) -> None:

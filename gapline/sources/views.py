@@ -15,8 +15,8 @@ def _pairs(df: DataFrame, list_id: str, doc_id: str) -> DataFrame:
 
 
 def dense(names: DataFrame) -> DataFrame:
-    """names(name) with a dense id in order of name. Numbering goes by ranges: counts per leading character first, then a rank in each."""
-    head = names.select("name", F.substring("name", 1, 2).alias("h")).distinct()
+    """names(name) with a dense id in order of name. Numbering goes by ranges: counts per leading characters first, then a rank in each."""
+    head = names.select("name", F.substring("name", 1, 4).alias("h")).distinct()
     counts = head.groupBy("h").count()
     before = F.sum("count").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
     at = counts.select("h", F.coalesce(before, F.lit(0)).alias("offset"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gapline.operators import codec, gaps, partition, search, stats, validate
+from gapline.operators import codec, gaps, partition, patched, search, stats, validate
 from gapline.plans.index import build
 from gapline.sources import store
 
@@ -155,3 +155,21 @@ def test_record_files(spark, tmp_path):
     (tmp_path / "b" / "6.idx").unlink()
     with pytest.raises(ValueError):
         store.load_idx(spark, f"file://{tmp_path}/b")
+
+
+def test_patched_frames(spark):
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 255, 256, 257, 1000):
+        for top in (1, 2, 100, 1 << 40, 1 << 61):
+            c = rng.integers(0, top, n)
+            c[rng.random(n) < 0.02] = (1 << 62) - 1
+            data = patched.encode(c)
+            assert patched.decode(data, n).tolist() == c.tolist()
+            assert n == 0 or len(data) <= 3 * -(-n // 256) + sum(-(-len(x) * int(x.max()).bit_length() // 8) for x in (c[k : k + 256] for k in range(0, n, 256)))
+    with pytest.raises(ValueError):
+        patched.decode(patched.encode(np.arange(10)) + b"x", 10)
+    k = keyed(spark, LISTS)
+    for how in ({"epsilon": 63}, {"variant": "pfor"}):
+        made = patched.compress(build(k, **how))
+        assert sorted(map(tuple, codec.decode(patched.expand(made)).collect())) == sorted(map(tuple, k.collect()))
+        assert {r.list_id: r.n for r in patched.bytes_of(made).groupBy("list_id").sum("n").withColumnRenamed("sum(n)", "n").collect()} == {i: len(x) for i, x in enumerate(LISTS)}

@@ -49,6 +49,8 @@ def test_broken_collections_are_refused(spark, tmp_path, words):
 def test_queries_and_keys(spark, tmp_path):
     (tmp_path / "a-2.queries").write_text("3 1 3\n\n7\t8 x 9\n5\n")
     assert [tuple(r) for r in c.read_queries(spark, f"{tmp_path}/a-2.queries").collect()] == [(0, [1, 3]), (1, []), (2, [7, 8]), (3, [5])]
+    (tmp_path / "b-2.queries").write_text("4 6\n")
+    assert sorted(tuple(r) for r in c.read_queries(spark, f"{tmp_path}/[ab]-2.queries").collect()) == [(0, [1, 3]), (1, []), (2, [7, 8]), (3, [5]), (4, [4, 6])]
     (tmp_path / "e.queries").write_text("")
     assert c.read_queries(spark, f"{tmp_path}/e.queries").count() == 0
     c.write_queries(spark.createDataFrame([(1, [4, 5]), (0, [9])], "query_id long, terms array<long>"), f"{tmp_path}/out")
