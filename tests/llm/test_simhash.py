@@ -1,10 +1,10 @@
-import itertools
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
 
-from gapline.llm.common import shingles, words
+from gapline.llm.common import forest, shingles, words
 from gapline.llm.simhash import hamming_links, keep_one, near_duplicates, node_pairs, similar_links, simhash, simhash_components
 from tests.conftest import SF
 from tests.llm.fixtures import documents, empty
@@ -110,21 +110,36 @@ def test_shuffled_words_do_not_hide_a_near_copy(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 1}
 
 
-def test_near_duplicates_of_a_corpus_match_brute_force(spark):
-    """All pairs of sf0.01 by an index of shingles: every pair of similarity 0.8 or more is in one group, and groups are no larger than their links make them."""
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").collect()]
-    sets = [set(shingles(words((t or "").encode()), 5)) for _, t in rows]
-    index = defaultdict(list)
-    for n, x in enumerate(sets):
-        for g in x:
+def similar_pairs(sets):
+    """All pairs of different sets with a similarity of 0.8 or more: they share one of the rarest fifth of each one's shingles."""
+    freq = Counter(g for x in sets for g in x)
+    index, pairs = defaultdict(list), set()
+    for n in sorted(range(len(sets)), key=lambda n: len(sets[n])):
+        x = sorted(sets[n], key=lambda g: (freq[g], g))
+        rare = x[: len(x) - math.ceil(0.8 * len(x) - 1e-9) + 1]
+        for m in {m for g in rare for m in index[g]}:
+            both = len(sets[n] & sets[m])
+            if both >= 0.8 * (len(x) + len(sets[m]) - both) - 1e-9:
+                pairs.add((m, n))
+        for g in rare:
             index[g].append(n)
-    shared = Counter(p for own in index.values() if len(own) > 1 for p in itertools.combinations(own, 2))
-    pairs = {(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
-    empty_ = [n for n, x in enumerate(sets) if not x]
-    pairs |= set(zip(empty_, empty_[1:]))
-    comp = brute([(d, n) for n, (d, _) in enumerate(rows)], lambda x, y: (y[1], x[1]) in pairs)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert len(pairs) > 50 and {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == dict(zip([d for d, _ in rows], comp))
+    return pairs
+
+
+def test_near_duplicates_of_a_corpus_are_those_of_all_pairs(spark):
+    """Recall at sf0.1 is 1: every pair of similarity 0.8 or more is linked, and components are just those of such pairs."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text").collect()]
+    own = [frozenset(shingles(words((t or "").encode()), 5)) for _, t in rows]
+    sets = list(dict.fromkeys(own))
+    place = {x: n for n, x in enumerate(sets)}
+    pairs = similar_pairs(sets)
+    label = forest(len(sets), *np.array(sorted(pairs)).T)
+    low = {}
+    for (d, _), x in zip(rows, own):
+        k = int(label[place[x]])
+        low[k] = min(low.get(k, d), d)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 30 and got == {d: low[int(label[place[x]])] for (d, _), x in zip(rows, own)}
 
 
 def test_similar_links_match_brute_force():
