@@ -7,6 +7,7 @@ there a task walks down pairs of nodes together, adds up differing bits, and dro
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -158,7 +159,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies of whole documents: bands of MinHash values find candidates, exact shingle similarity decides.
+# Near copies of whole documents: the trie join and bands of MinHash values find candidates, exact shingle similarity decides.
 
 
 def band_keys(grams: list[bytes], bands: int, rows: int) -> list[int]:
@@ -217,11 +218,12 @@ def similar_links(sets: list[np.ndarray], side: np.ndarray, similarity: float, l
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, budget: int = 3, bands: int = 40, rows: int = 5) -> DataFrame:
     """(doc_id, component_id, n_rows): groups linked by a Jaccard similarity of k-word shingle sets of at least similarity.
 
-    Documents with equal lower-cased word sequences form one class first. Candidates are classes that share a band of
-    rows MinHash values of their shingle sets: whatever the edit, scattered words or a whole block, a pair of
+    Documents with equal lower-cased word sequences form one class first. Candidates are classes whose SimHash fingerprints
+    differ in at most budget bits, by the trie join, and, as that misses most pairs with a block added or cut, classes
+    that share a band of rows MinHash values of their shingle sets: whatever the edit, scattered words or a whole block, a pair of
     similarity s is missed with a probability of about (1 - s**rows)**bands, with the defaults 1.2e-7 at 0.8 and less
     above. Groups that candidates link are compared pair by pair on exact shingle sets, but for pairs that others link
     already, so no pair below the threshold is ever linked. A group of many chunks is first compared chunk by chunk with
@@ -231,25 +233,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     cuts = Cuts(spark, "neardup")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+    digest = xxhash.xxh64_digest
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, found = [], []
+            keys, fps, found = [], [], []
             for t in texts(b.column(1)):
                 w = words(t)
+                grams = shingles(w, k)
                 keys.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest())
-                found.append(band_keys(shingles(w, k), bands, rows))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "cls", "bands"])
+                fps.append(signed(majority(b"".join([digest(s, 42) for s in grams]))))
+                found.append(band_keys(grams, bands, rows))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "cls", "fp", "bands"])
 
     kept = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    each = cuts.cut(kept.mapInArrow(run, "id long, cls binary, bands array<long>"))
+    each = cuts.cut(kept.mapInArrow(run, "id long, cls binary, fp long, bands array<long>"))
     each = each.where("id is not null")
-    low = cuts.cut(each.groupBy("cls").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
+    low = cuts.cut(each.groupBy("cls").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    # classes whose fingerprints the trie join finds within the budget
+    some = low.where(F.size("bands") > 0)
+    by_fp = cuts.cut(some.groupBy("fp").agg(F.min("rep").alias("x"), F.max("rep").alias("last")))
+    one, other = by_fp.select(F.col("fp").alias("a"), "x"), by_fp.select(F.col("fp").alias("b"), F.col("x").alias("y"))
+    linked = hamming_links(by_fp.select("fp"), budget).join(one, "a").join(other, "b").select("x", "y")
+    alike = some.join(by_fp.where("x <> last").select("fp", "x"), "fp").where("rep <> x").select("x", F.col("rep").alias("y"))
     # classes with the same key of some band, each with the smallest class of that key
     flat = low.select("rep", F.explode("bands").alias("key"))
     shared = flat.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("last")).where("x <> last").select("key", "x")
-    pairs = cuts.cut(flat.join(shared, "key").where("rep <> x").select("x", F.col("rep").alias("y")).distinct())
+    banded = flat.join(shared, "key").where("rep <> x").select("x", F.col("rep").alias("y"))
+    pairs = cuts.cut(linked.union(alike).union(banded).distinct())
 
     # Sets of the documents in some pair; a bounded filter spares the others' texts the exchange.
     groups = components(cuts, pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
