@@ -22,7 +22,7 @@ from gapline.llm.common import Cuts, bloom_filter, col, components, forest, in_f
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 SMALL = 64  #: pairs of nodes with at most so many pairs of fingerprints are compared directly
 UNIT_BYTES = 8 << 20  #: of shingle sets, and 640 for each, in a chunk of a candidate group; two chunks at most are compared at a time
-CHUNK = 1 << 18  #: pairs of nodes expanded at a time
+CHUNK = 1 << 16  #: pairs of nodes expanded at a time
 
 
 def majority(hashes: bytes | np.ndarray) -> int:
