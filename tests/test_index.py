@@ -157,6 +157,14 @@ def test_record_files(spark, tmp_path):
         store.load_idx(spark, f"file://{tmp_path}/b")
 
 
+def test_record_files_of_any_length(spark, tmp_path):
+    lists = [list(range(0, 3 * n, 3)) for n in (1, 127, 128, 195, 224, 240, 255, 256, 1219, 52_960)]  # of which some bytes begin a character of UTF-8
+    k = keyed(spark, lists)
+    store.save_idx(build(k, 3), f"file://{tmp_path}/x")
+    got = codec.decode(store.load_idx(spark, f"file://{tmp_path}/x"))
+    assert validate.mismatches(k, got).where("n_unequal > 0").count() == 0 and got.count() == sum(map(len, lists))
+
+
 def test_patched_frames(spark):
     rng = np.random.default_rng(8)
     for n in (0, 1, 255, 256, 257, 1000):
