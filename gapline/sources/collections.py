@@ -5,11 +5,14 @@ A collection is little-endian 32-bit words: 1, the universe's size, then for eac
 
 from __future__ import annotations
 
+import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -17,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 PIECE = 1 << 20  #: keys read at a time
 WALK = 1 << 16  #: bytes read at a time while only lengths are wanted
 SPLIT = 64 << 20  #: bytes of a task
+ROWS = 1 << 16  #: keys of a key file handed on at a time
 
 
 def opened(path: str):
@@ -26,6 +30,14 @@ def opened(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def created(path: str):
+    """opened, for a file to be written: the folder that it goes to is made if need be."""
+    store, base = opened(path)
+    if folder := posixpath.dirname(base):
+        store.create_dir(folder, recursive=True)
+    return store, base
+
+
 def files_of(path: str) -> list[str]:
     """A collection's files: path itself, or the .docs files of a folder in order of name."""
     from pyarrow import fs
@@ -207,7 +219,7 @@ def write_docs(keyed: DataFrame, path: str, universe: int, files: int = 1) -> No
     rows = rows.repartitionByRange(files, "list_id") if files > 1 else rows.repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = opened(path)
+        store, base = opened(path) if files > 1 else created(path)
         temp, out, first = f"{base}{'/' if files > 1 else ''}_{uuid.uuid4().hex}", None, 0
         for b in batches:
             if not b.num_rows:
@@ -224,7 +236,7 @@ def write_docs(keyed: DataFrame, path: str, universe: int, files: int = 1) -> No
             yield pa.RecordBatch.from_arrays([pa.array([first])], ["first"])
 
     if not rows.sortWithinPartitions("list_id", "pos").mapInArrow(run, "first bigint").collect():
-        store, base = opened(path)
+        store, base = opened(path) if files > 1 else created(path)
         with store.open_output_stream(f"{base}/lists-{0:012d}.docs" if files > 1 else base) as f:
             f.write(np.array([1, universe], "<u4").tobytes())
 
@@ -260,31 +272,92 @@ def write_queries(queries: DataFrame, path: str) -> None:
     queries.orderBy("query_id").select(F.array_join(F.transform("terms", lambda x: x.cast("string")), " ").alias("value")).write.text(path)
 
 
+def key_parts(path: str, width: int) -> list[tuple[str, int, int]]:
+    """(path, first, n) of runs of at most PIECE keys of a key file of width bytes a key; raises on a file cut short."""
+    store, base = opened(path)
+    with store.open_input_file(base) as f:
+        n = int.from_bytes(f.read(8), "little")
+        if f.size() < 8 + n * width:
+            raise ValueError(f"{path}: cut short")
+    return [(path, at, min(PIECE, n - at)) for at in range(0, n, PIECE)]
+
+
 def read_keys(spark: SparkSession, path: str, bits: int = 32) -> DataFrame:
-    """(pos, key) of a key file, a 64-bit count and then keys, sorted on reading."""
+    """(pos, key) of a key file, a 64-bit count and then keys, numbered in order of key; of several files, each for itself.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Executors read runs of PIECE keys. Where they find a file out of order, a sorted copy in the shared folder is read in its place.
+    """
+    from gapline.sources.store import scratch
+
+    width = bits // 8
+    named = spark.read.format("binaryFile").load(path).select("path").collect()
+    files = [re.sub("^file:/(?!/)", "file:///", x.path) for x in sorted(named)]
+
+    def keys(name: str, at: int, n: int) -> np.ndarray:
+        store, base = opened(name)
+        with store.open_input_file(base) as f:
+            f.seek(8 + at * width)
+            return np.frombuffer(f.read(n * width), f"<u{width}")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                k = keys(name, max(at - 1, 0), n + min(at, 1))
+                if (k[1:] < k[:-1]).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([name])], ["path"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
-                n = int.from_bytes(data[:8], "little")
-                keys = np.sort(np.frombuffer(data, f"<u{bits // 8}", n, 8)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(keys)], ["pos", "key"])
+            for part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                k = keys(*part).astype(np.int64)
+                for i in range(0, len(k), ROWS):
+                    some = k[i : i + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(some)) + part[1] + i), pa.array(some)], ["pos", "key"])
+
+    def rows(names: list[str]) -> DataFrame:
+        return spark.createDataFrame([x for name in names for x in key_parts(name, width)], "path string, at long, n long")
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "pos bigint, key bigint")
+    for x in rows(files).mapInArrow(check, "path string").distinct().collect():
+        copy = scratch(spark, "keys")
+        write_keys(rows([x.path]).mapInArrow(read, "pos bigint, key bigint"), copy, bits)
+        files[files.index(x.path)] = copy
+    return rows(files).mapInArrow(read, "pos bigint, key bigint")
 
 
 def write_keys(keys: DataFrame, path: str, bits: int = 32) -> None:
-    """A key file of keys(key), in order: one task's stream behind their count, under a temporary name until it is whole."""
+    """A key file of keys(key), in order: keys are sorted and packed by ranges, and one task writes the pieces behind their count, under a temporary
+    name until the file is whole. Keys are unsigned; null, or what has more bits than a key of the file, is an error."""
     n = keys.count()
+    unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63))) if bits == 64 else F.col("key")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = opened(path)
-        temp = f"{base}_{uuid.uuid4().hex}"
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, i = TaskContext.get().partitionId(), 0
+        for b in batches:
+            if b.column(0).null_count:
+                raise ValueError("a key is null")
+            k = b.column(0).to_numpy()
+            if bits < 64 and len(k) and (k.min() < 0 or k.max() >> bits):
+                raise ValueError(f"a key has no {bits} bits: {k.min()} to {k.max()}")
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, i, len(k), k.astype(f"<u{bits // 8}").tobytes())], ["part", "i", "n", "data"])
+            i += 1
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = created(path)
+        temp, held = f"{base}_{uuid.uuid4().hex}", 0
         with store.open_output_stream(temp) as out:
             out.write(n.to_bytes(8, "little"))
             for b in batches:
-                out.write(b.column(0).to_numpy().astype(f"<u{bits // 8}").tobytes())
+                for size, data in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    out.write(data)
+                    held += size
+        if held != n:
+            raise ValueError(f"{path}: {n} keys were counted, {held} written")
         store.move(temp, base)
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
-    keys.select(F.col("key").cast("bigint")).repartition(1).sortWithinPartitions("key").mapInArrow(run, "n bigint").collect()
+    ranges = keys.select(F.col("key").cast("bigint")).repartitionByRange(unsigned).sortWithinPartitions(unsigned)
+    pieces = ranges.mapInArrow(pack, "part bigint, i bigint, n bigint, data binary")
+    if not pieces.repartition(1).sortWithinPartitions("part", "i").mapInArrow(write, "n bigint").collect():
+        store, base = created(path)
+        with store.open_output_stream(base) as f:
+            f.write(n.to_bytes(8, "little"))

@@ -61,6 +61,38 @@ def test_queries_and_keys(spark, tmp_path):
     assert [tuple(r) for r in c.read_keys(spark, f"{tmp_path}/w", 64).collect()] == [(0, 2), (1, 2), (2, 5), (3, 9)]
 
 
+def test_files_go_to_folders_not_yet_there(spark, tmp_path):
+    c.write_keys(spark.createDataFrame([(9,), (2,)], "key long"), f"file://{tmp_path}/a/b/keys")
+    assert [tuple(r) for r in c.read_keys(spark, f"file://{tmp_path}/a/b/keys").collect()] == [(0, 2), (1, 9)]
+    for k in (keyed(spark, [[10, 20]]), keyed(spark, [[1]]).limit(0)):
+        c.write_docs(k, f"{tmp_path}/c/{k.count()}/x.docs", 50)
+        assert c.read_docs(spark, f"{tmp_path}/c/{k.count()}/x.docs").count() == k.count()
+
+
+def test_keys_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(c, "PIECE", 100)
+    rng = np.random.default_rng(3)
+    for bits, top in ((32, (1 << 32) - 1), (64, (1 << 64) - 1)):
+        keys = np.r_[rng.integers(0, 1000, 700, np.uint64), rng.integers(0, top, 350, np.uint64), np.full(3, top, np.uint64)]
+        want = list(enumerate(np.sort(keys).astype(np.int64).tolist()))
+        (tmp_path / f"{bits}").write_bytes(np.array([len(keys)], "<u8").tobytes() + keys.astype(f"<u{bits // 8}").tobytes())  # out of order
+        assert [tuple(r) for r in c.read_keys(spark, f"{tmp_path}/{bits}", bits).collect()] == want
+        c.write_keys(c.read_keys(spark, f"{tmp_path}/{bits}", bits).repartition(3), f"{tmp_path}/w{bits}", bits)
+        assert np.fromfile(tmp_path / f"w{bits}", f"<u{bits // 8}", offset=8).tolist() == np.sort(keys).tolist()
+        assert [tuple(r) for r in c.read_keys(spark, f"{tmp_path}/w{bits}", bits).collect()] == want
+        assert len(c.key_parts(f"{tmp_path}/w{bits}", bits // 8)) == 11
+    two = [tuple(r) for r in c.read_keys(spark, f"{tmp_path}/*32").collect()]  # each numbered for itself
+    assert sorted(two) == sorted(2 * [tuple(x) for x in enumerate(np.sort(np.fromfile(tmp_path / "w32", "<u4", offset=8)).tolist())])
+    c.write_keys(spark.createDataFrame([], "key long"), f"{tmp_path}/none")
+    assert (tmp_path / "none").read_bytes() == bytes(8) and c.read_keys(spark, f"{tmp_path}/none").count() == 0
+    for bad in (None, -1, 1 << 32):
+        with pytest.raises(Exception, match="a key "):
+            c.write_keys(spark.createDataFrame([(5,), (bad,)], "key long"), f"{tmp_path}/bad")
+    (tmp_path / "short").write_bytes((3).to_bytes(8, "little") + bytes(11))
+    with pytest.raises(ValueError):
+        c.read_keys(spark, f"{tmp_path}/short")
+
+
 def test_stream_is_ingested_once(spark, tmp_path):
     k = keyed(spark, [[1, 2], [3]]).select("list_id", "doc_id")
     k.write.parquet(f"{tmp_path}/in")
