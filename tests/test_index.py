@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,45 @@ def test_record_files_of_any_length(spark, tmp_path):
     assert validate.mismatches(k, got).where("n_unequal > 0").count() == 0 and got.count() == sum(map(len, lists))
 
 
+def test_record_files_as_streams(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    for step in (64, 1 << 16):
+        monkeypatch.setattr(store, "STEP", step)
+        monkeypatch.setattr(store, "SPOOL", 1000)
+        for epsilon in (0, 1, 63):
+            for n in (0, 1, 63, 64, 65, 3000):
+                size = rng.integers(1, 90, n)
+                segs = [{f: int(rng.integers(0, 1 << 31)) for f in store.FIELDS} | {"covered": int(c), "residuals": rng.integers(-epsilon, epsilon + 1, c).tolist()} for c in size]
+                block = store.Block(epsilon)
+                for x in range(0, n, 17):
+                    some = segs[x : x + 17]
+                    block.add(np.array([[g[f] for f in store.FIELDS] for g in some]), np.concatenate([np.array(g["residuals"], np.int64) for g in some]))
+                data = b"".join(block.bytes())
+                assert n == 0 or data == store.record(epsilon, segs)
+                file = store.RecordFile(pa.BufferReader(data), "x")
+                ends = np.r_[0, np.cumsum(size)]
+                for x, y in ((0, n), (n // 3, n // 2), (n - n // 5, n)):
+                    assert file.covered(x, y - x).tolist() == size[x:y].tolist()
+                    assert file.column(4, file.width[4], x, y - x).tolist() == [g["x_b"] for g in segs[x:y]]
+                    assert file.residuals(int(ends[x]), int(ends[y] - ends[x])).tolist() == [r for g in segs[x:y] for r in g["residuals"]]
+                for bad in (data[:-1] if n else data[:-8], data + b"x", data[:10]):
+                    with pytest.raises(ValueError):
+                        store.RecordFile(pa.BufferReader(bad), "x")
+    monkeypatch.undo()
+    monkeypatch.setattr(store, "CHUNK", 500)  # of the files' parts, not of the fit
+    k = keyed(spark, LISTS)
+    store.save_idx(build(k), f"{tmp_path}/x")
+    assert not [p.name for p in (tmp_path / "x").iterdir() if p.name != "idx.size" and p.suffix != ".idx"]
+    loaded = store.load_idx(spark, f"{tmp_path}/x")
+    assert sorted(map(tuple, codec.decode(loaded).collect())) == sorted(map(tuple, k.collect()))
+    columns = [c for c in loaded.columns if c != "block_id"]
+    assert sorted(map(tuple, loaded.select(columns).collect())) == sorted(map(tuple, build(k).select(columns).collect()))
+    store.save_idx(build(k.limit(0), 1), f"{tmp_path}/none")
+    assert store.load_idx(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(Exception, match="several blocks"):
+        store.save_idx(build(keyed(spark, [SKEWED])), f"{tmp_path}/y", False)
+
+
 def test_patched_frames(spark):
     rng = np.random.default_rng(8)
     for n in (0, 1, 255, 256, 257, 1000):
