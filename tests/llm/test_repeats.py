@@ -69,6 +69,15 @@ def test_bytes_match_brute_force(spark, window, gram, hot):
         assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_bytes_of_the_least_id_beside_none(spark):
+    t, part = "0123456789abcdefghijklmnopqrst", "0123456789abcdefghij"
+    least = -(1 << 63)
+    docs = spark.createDataFrame([(least, t), (None, t), (1, f"{part}-{part}"), (2, "XYZ")], "doc_id long, text string")
+    got = suffixes.remove_repeats(docs, window=20, gram=5, keep_text=True).collect()
+    want = [(least, 30, 30, 1, b""), (None, 30, 30, 1, b""), (1, 41, 40, 2, b"-"), (2, 3, 0, 0, b"XYZ")]
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], key=repr) == sorted(want, key=repr)
+
+
 def test_awkward_rows_and_kept_text(spark):
     docs = documents(spark)
     for f, n in ((phrases.remove_repeats, 5), (suffixes.remove_repeats, 6)):
